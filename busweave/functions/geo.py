@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Mean earth radius in metres, WGS84 ellipsoid, UTM scale.
 EARTH_RADIUS_M = 6371000.0
@@ -33,7 +34,7 @@ def haversine_km_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     return haversine_m(lat1, lon1, lat2, lon2) / 1000.0 * 1000.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Ellipsoidal metres by Vincenty's inverse formula, a fixed number of rounds per batch."""
     b = WGS84_A * (1 - WGS84_F)

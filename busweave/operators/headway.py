@@ -116,7 +116,7 @@ def scheduled_headway_for(
     """Scheduled headway of the earliest interval that holds both passing times, else null.
 
     Intervals are spread over the time buckets they touch, so the join is an equi-join on the keys
-    and a bucket instead of all intervals of a key.
+    and a bucket instead of all intervals of a key. Pairs that pass midnight lie in no interval.
     """
     keys = list(keys)
     spread = scheduled.withColumn(
@@ -125,7 +125,7 @@ def scheduled_headway_for(
             F.sequence(F.floor(F.col("first_arr") / bucket_s), F.floor(F.col("second_arr") / bucket_s))
         ),
     ).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__b", "first_arr", "second_arr", "sched_min")
-    rows = pairs.withColumn("__pb", F.floor(F.col(first_s) / bucket_s))
+    rows = pairs.where(F.col(first_s) <= F.col(second_s)).withColumn("__pb", F.floor(F.col(first_s) / bucket_s))
     on = (F.col("__pb") == F.col("__b")) & (F.col("first_arr") <= F.col(first_s)) & (
         F.col(second_s) <= F.col("second_arr")
     )

@@ -121,7 +121,7 @@ _PAIRS = f"""pairs AS (
 _LOOKUP = """looked AS (
   SELECT p.event_id, p.headway_min,
          (SELECT arg_min(sched_min, first_arr) FROM sched q WHERE q.route = p.route AND q.stop = p.stop
-            AND q.service_id = p.service_id AND q.first_arr <= p.t1_s AND p.t2_s <= q.second_arr) AS sched_min
+            AND q.service_id = p.service_id AND q.first_arr <= p.t1_s AND p.t1_s <= p.t2_s AND p.t2_s <= q.second_arr) AS sched_min
   FROM pairs p)"""
 
 
