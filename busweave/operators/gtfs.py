@@ -51,7 +51,7 @@ def route_frequency(routes: DataFrame, medians: DataFrame, route: str = "route")
     return routes.join(medians, route, "left").withColumn("frequency", label).drop("median_s", "city_median_s")
 
 
-def stop_times_with_shapes(gtfs: dict[str, DataFrame]) -> DataFrame:
+def stop_times_with_shapes(gtfs: dict[str, DataFrame], size: float = 0.01) -> DataFrame:
     """Stop events with service, position, route, shape and nearest shape point.
 
     The nearest point is found once per distinct (stop, shape), not per stop event.
@@ -66,7 +66,7 @@ def stop_times_with_shapes(gtfs: dict[str, DataFrame]) -> DataFrame:
         .join(routes.select("route_id", "route_code"), "route_id", "left")
         .withColumn("route", F.coalesce("route_code", F.lit(MISSING)))
     )
-    on_shape = nearest_for_stop(events.select("stop_id", "shape_id", "lat", "lon").distinct(), gtfs["shapes"])
+    on_shape = nearest_for_stop(events.select("stop_id", "shape_id", "lat", "lon").distinct(), gtfs["shapes"], size)
     return events.join(on_shape.select("stop_id", "shape_id", "shape_seq"), ["stop_id", "shape_id"]).select(
         "service_id", "arrival", "departure", "stop_id", "stop_seq", "lat", "lon", "route", "shape_id", "shape_seq", "trip_id"
     )

@@ -3,7 +3,8 @@
 Only distinct cells are compared with each other, so that step grows with the area covered and not
 with the number of rows. For a pair of cells the distance of their centres, plus or minus the cell
 radii, bounds every point distance; cells that cannot hold the nearest point are dropped, and rows
-meet only the points of the cells that remain.
+meet only the points of the cells that remain. The small tables (cells, points, cell pairs) are
+written to the shared scratch folder, so nothing is computed twice and a lost executor costs little.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busweave.functions.geo import METRES_PER_DEGREE, cell_index, haversine_m
+from busweave.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, cell_index, haversine_m
+from busweave.operators.best import best_match
+from busweave.session import checkpointed
 
 WHOLE_WORLD = 1000.0
 
@@ -27,6 +30,37 @@ def _centre(index: str, size: float):
     return (F.col(index) + 0.5) * size
 
 
+def _with_vector(df: DataFrame, prefix: str, size: float) -> DataFrame:
+    """Earth-centred coordinates of a cell's centre: chords compare like arcs and cost no trigonometry."""
+    lat, lon = F.radians(_centre(f"{prefix}i", size)), F.radians(_centre(f"{prefix}j", size))
+    return df.withColumns(
+        {
+            f"{prefix}x": EARTH_RADIUS_M * F.cos(lat) * F.cos(lon),
+            f"{prefix}y": EARTH_RADIUS_M * F.cos(lat) * F.sin(lon),
+            f"{prefix}z": EARTH_RADIUS_M * F.sin(lat),
+        }
+    )
+
+
+def _square(a: str, b: str) -> Column:
+    terms = [(F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in "xyz"]
+    return terms[0] + terms[1] + terms[2]
+
+
+def _arc(square: Column) -> Column:
+    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(square) / (2 * EARTH_RADIUS_M), F.lit(1.0)))
+
+
+def _chord_square(arc: Column) -> Column:
+    half = F.least(arc / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2))
+    return F.pow(2 * EARTH_RADIUS_M * F.sin(half), F.lit(2.0))
+
+
+def cell_radius_m(size: float) -> float:
+    """Upper bound of the distance from a cell's centre to any of its points."""
+    return size * METRES_PER_DEGREE * math.sqrt(0.5) * 1.001
+
+
 def candidate_cells(
     left_cells: DataFrame, right_cells: DataFrame, keys: Sequence[str], size: float, reach: Sequence[float]
 ) -> DataFrame:
@@ -36,10 +70,10 @@ def candidate_cells(
     provably covers all its candidates; the last size must cover the world.
     """
     keys = list(keys)
-    radius = size * METRES_PER_DEGREE * math.sqrt(0.5) * 1.001
-    slack = 4 * radius
+    slack = 4 * cell_radius_m(size)
     left_id = [*keys, "__li", "__lj"]
-    rest, found = left_cells, None
+    rest, found = _with_vector(left_cells, "__l", size), None
+    right_cells = _with_vector(right_cells, "__r", size)
     for level, tile in enumerate(reach):
         last = level == len(reach) - 1
         near = [-1, 0, 1]
@@ -61,20 +95,24 @@ def candidate_cells(
             ).drop("__di", "__dj")
         else:
             b = right_cells.withColumns({"__ti": F.lit(0), "__tj": F.lit(0)})
-        pairs = a.join(b, [*keys, "__ti", "__tj"]).withColumn(
-            "__d",
-            haversine_m(_centre("__li", size), _centre("__lj", size), _centre("__ri", size), _centre("__rj", size)),
-        )
-        best = pairs.withColumn("__best", F.min("__d").over(Window.partitionBy(*left_id)))
-        kept = best.where(F.col("__d") <= F.col("__best") + slack)
+        tiles = [*keys, "__ti", "__tj"]
+        square = _square("__l", "__r")
+        vector = ["__lx", "__ly", "__lz"]
+        best = a.join(b, tiles).groupBy(*left_id, "__ti", "__tj", *vector).agg(_arc(F.min(square)).alias("__best"))
+        best = best.withColumn("__limit", _chord_square(F.col("__best") + slack))
+        kept = best.join(b, tiles).where(square <= F.col("__limit"))
         if not last:
             widest = F.least(F.abs(_centre("__li", size)) + tile, F.lit(90.0))
             covered = tile * METRES_PER_DEGREE * F.cos(F.radians(widest))
             kept = kept.where(F.col("__best") + slack <= covered)
         kept = kept.select(*left_id, "__ri", "__rj")
+        if last:
+            return kept if found is None else found.unionByName(kept)
+        kept = checkpointed(kept, "near-cells")
         found = kept if found is None else found.unionByName(kept)
-        if not last:
-            rest = rest.join(kept.select(*left_id).distinct(), left_id, "left_anti")
+        rest = rest.join(kept.select(*left_id).distinct(), left_id, "left_anti")
+        if rest.isEmpty():
+            return found
     return found
 
 
@@ -104,24 +142,27 @@ def nearest_point(
     )
     spots = _cells(spots, ("__rlat", "__rlon"), size, ("__ri", "__rj"))
     rows = _cells(left, left_at, size, ("__li", "__lj"))
+    # The cell table is small but every cell means work, so it keeps the full number of partitions.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left_cells = checkpointed(rows.select(*keys, "__li", "__lj").distinct().repartition(parts, *keys, "__li", "__lj"), "cells")
+    spots = checkpointed(spots, "spots")
     pairs = candidate_cells(
-        rows.select(*keys, "__li", "__lj").distinct(), spots.select(*keys, "__ri", "__rj").distinct(), keys, size, reach
+        left_cells, spots.select(*keys, "__ri", "__rj").distinct(), keys, size, reach
     )
-    options = pairs.join(spots, [*keys, "__ri", "__rj"]).drop("__ri", "__rj")
+    options = checkpointed(pairs, "pairs").join(spots, [*keys, "__ri", "__rj"]).drop("__ri", "__rj")
+    # Second cut, now with real points: a point farther than the best one by more than the cell's
+    # width cannot win for any row of the cell.
+    cell = [*keys, "__li", "__lj"]
+    to_spot = haversine_m(_centre("__li", size), _centre("__lj", size), F.col("__rlat"), F.col("__rlon"))
+    limit = options.groupBy(*cell).agg((F.min(to_spot) + 2 * cell_radius_m(size)).alias("__limit"))
+    options = checkpointed(options.join(limit, cell).where(to_spot <= F.col("__limit")).drop("__limit"), "options")
     metres = F.round(haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col("__rlat"), F.col("__rlon")), 3)
-    joined = rows.join(options, [*keys, "__li", "__lj"], "left").select(
-        *[F.col(c).alias(f"__id_{c}") for c in row_id],
-        F.struct(*left.columns).alias("__row"),
-        F.when(
-            F.col("__rlat").isNotNull(),
-            F.struct(metres.alias("m"), *[F.col(f"__r.{c}").alias(c) for c in extra]),
-        ).alias("__hit"),
-    )
-    best = joined.groupBy(*[f"__id_{c}" for c in row_id]).agg(
-        F.any_value("__row").alias("__row"), F.min("__hit").alias("__hit")
-    )
-    return best.select(
-        *[F.col(f"__row.{c}").alias(c) for c in left.columns],
-        *[F.col(f"__hit.{c}").alias(c) for c in take],
-        F.col("__hit.m").alias(distance),
+    found = best_match(
+        rows,
+        options,
+        cell,
+        row_id,
+        {"m": metres, **{c: F.col(f"__r.{c}") for c in prefer}},
+        {**{c: F.col(f"__r.{c}") for c in take}, distance: metres},
     )
+    return found.drop("__li", "__lj")

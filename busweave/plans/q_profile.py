@@ -102,7 +102,7 @@ def _(t):
         g["stop_times"].join(g["trips"], "trip_id").join(g["stops"].drop("file_order"), "stop_id")
         .select("stop_id", "shape_id", "lat", "lon").distinct()
     )
-    return G.nearest_for_stop(pairs, g["shapes"]).select("stop_id", "shape_id", "shape_seq", "distance_m")
+    return G.nearest_for_stop(pairs, g["shapes"], size=0.05).select("stop_id", "shape_id", "shape_seq", "distance_m")
 
 
 @query(
@@ -118,7 +118,7 @@ def _(t):
     ),
 )
 def _(t):
-    return G.stop_times_with_shapes(_gtfs(t))
+    return G.stop_times_with_shapes(_gtfs(t), size=0.05)
 
 
 @query(

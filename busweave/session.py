@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,8 +43,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="busweave-"), label)
 
 
-def checkpointed(spark: SparkSession, df, label: str):
+def checkpointed(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, which cuts its lineage."""
+    spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
