@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from busweave.operators.ordered import over_slices, running_sum
 
 
-def split_points(df: DataFrame, cols: Sequence[str], parts: int = 32) -> dict[str, list[float]]:
+def split_points(df: DataFrame, cols: Sequence[str], parts: int = 64) -> dict[str, list[float]]:
     """About ``parts`` split values per column from a bounded sketch (one pass, small result)."""
     probs = [i / parts for i in range(1, parts)]
     found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(list(cols), probs, 0.01)
     return {c: sorted(set(v)) for c, v in zip(cols, found)}
 
 
-def bucket_of(value: Column, splits: Sequence[float]) -> Column:
-    """How many split values lie below ``value``; grows with it."""
-    if not splits:
-        return F.lit(0)
-    return sum(((value > s).cast("int") for s in splits[1:]), (value > splits[0]).cast("int"))
+def bucket_sql(value: str, splits: Sequence[float]) -> str:
+    """Number of split values below ``value``, as a balanced CASE tree over a column name."""
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"CASE WHEN {value} > {float(splits[mid])!r}D THEN {tree(mid + 1, high)} ELSE {tree(low, mid)} END"
+
+    return tree(0, len(splits))
 
 
 def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -30,11 +35,10 @@ def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     return df.select(*keys, pairs.alias("p")).select(*keys, F.col("p.f").alias("feature"), F.col("p.v").alias("value"))
 
 
-def _feature_bucket(splits: dict[str, list[float]]) -> Column:
-    bucket = F.lit(0)
-    for name, points in splits.items():
-        bucket = F.when(F.col("feature") == name, bucket_of(F.col("value"), points)).otherwise(bucket)
-    return bucket
+def feature_bucket(splits: dict[str, list[float]]) -> Column:
+    """Bucket of ``value`` among the split points of the row's ``feature``."""
+    cases = " ".join(f"WHEN '{name}' THEN {bucket_sql('value', points)}" for name, points in splits.items())
+    return F.expr(f"CASE feature {cases} ELSE 0 END")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, dict]:
@@ -60,7 +64,7 @@ def exact_quantiles(
     keys = list(keys)
     counts, splits = value_counts(df, keys, cols)
     by = [*keys, "feature"]
-    ranked = over_slices(counts, by, ["value"], _feature_bucket(splits), upto=running_sum(F.col("n")))
+    ranked = over_slices(counts, by, ["value"], feature_bucket(splits), upto=running_sum(F.col("n")))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     both = ranked.join(totals, by)
     start, end = F.col("upto") - F.col("n"), F.col("upto")
@@ -91,7 +95,7 @@ def mid_ranks(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> D
     keys = list(keys)
     counts, splits = value_counts(df, keys, cols)
     ranked = over_slices(
-        counts, [*keys, "feature"], ["value"], _feature_bucket(splits), upto=running_sum(F.col("n"))
+        counts, [*keys, "feature"], ["value"], feature_bucket(splits), upto=running_sum(F.col("n"))
     )
     return ranked.select(
         *keys, "feature", "value", "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mid_rank")

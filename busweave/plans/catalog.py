@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from busweave.plans import q_enrich, q_headway, q_matching, q_profile, q_scalars, q_shaping, q_trajectory  # noqa: F401
+from busweave.plans import q_enrich, q_headway, q_matching, q_profile, q_scalars, q_shaping, q_stats, q_trajectory  # noqa: F401
 from busweave.plans.registry import QUERIES, SQL  # noqa: F401
