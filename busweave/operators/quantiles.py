@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busweave.operators.ordered import over_slices, running_sum
+from busweave.session import checkpointed
 
 
 def split_points(df: DataFrame, cols: Sequence[str], parts: int = 64) -> dict[str, list[float]]:
@@ -50,7 +51,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> tup
         .groupBy(*keys, "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counts, splits
+    # Read several times below, so it is written once.
+    return checkpointed(counts, "value-counts"), splits
 
 
 def exact_quantiles(

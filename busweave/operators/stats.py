@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from busweave.operators.ordered import over_slices, position, running_sum
-from busweave.operators.quantiles import bucket_sql, exact_quantiles, mid_ranks, split_points
+from busweave.operators.quantiles import bucket_sql, mid_ranks, split_points
+from busweave.session import checkpointed
 
 
 def _long(one_row: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long(one, pairs, names)
 
 
-def _ties(df: DataFrame, keys: Sequence[str]) -> Column:
+def _ties(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of rows that are equal in ``keys``."""
     n = F.col("__n").cast("double")
     return df.groupBy(*keys).agg(F.sum("__n").alias("__n")).agg(F.sum(n * (n - 1) / 2).alias("t"))
 
@@ -70,9 +72,9 @@ def kendall_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
     number of distinct (x, y) times the bits of the rank.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("__n"))
+    counted = checkpointed(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("__n")), "pair-counts")
     splits = split_points(rows, ["x", "y"], parts)
-    distinct = rows.select("y").distinct()
+    distinct = counted.select("y").distinct()
     ranked = over_slices(distinct, [], ["y"], F.expr(bucket_sql("y", splits["y"])), __r=position())
     bits = max(1, int(distinct.count()).bit_length())
     placed = counted.join(ranked, "y")
@@ -220,8 +222,3 @@ def share_interval(p: Column, alpha: float, n: Column, z: float | None = None) -
     half = F.lit(1 - alpha / 2 if z is None else z) * F.sqrt(p * (1 - p) / n)
     return p - half, p + half
 
-
-__all__ = [
-    "chi2_scores", "chi2_tail", "correlated_with", "exact_quantiles", "friedman", "k_best", "kendall", "kendall_pair",
-    "mann_whitney", "median_abs", "pairs_over", "pearson", "share_interval", "spearman", "two_sided_p",
-]
