@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from busweave.functions.geo import haversine_m
 from busweave.functions.times import minutes_between
 from busweave.operators.best import best_match
-from busweave.operators.nearest import WHOLE_WORLD, nearest_point
+from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import first_per_key
 
-# Tile sizes in degrees for the keyless station search; most cells settle at the first.
-STATION_REACH = (0.5, 4.0, 32.0, WHOLE_WORLD)
-
-
-def nearest_station(df: DataFrame, stations: DataFrame, row_id: Sequence[str], size: float = 0.05) -> DataFrame:
+def nearest_station(df: DataFrame, stations: DataFrame, row_id: Sequence[str]) -> DataFrame:
     """Nearest weather station of each row: ``station`` and ``station_m``; the smallest id wins ties."""
-    return nearest_point(
-        df, stations, row_id, [], ["station"], ["station"], size=size, reach=STATION_REACH, distance="station_m"
-    )
+    return nearest_point(df, stations, row_id, [], ["station"], ["station"], distance="station_m")
 
 
 def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts: str = "ts") -> DataFrame:

@@ -51,7 +51,7 @@ def route_frequency(routes: DataFrame, medians: DataFrame, route: str = "route")
     return routes.join(medians, route, "left").withColumn("frequency", label).drop("median_s", "city_median_s")
 
 
-def stop_times_with_shapes(gtfs: dict[str, DataFrame], size: float = 0.01) -> DataFrame:
+def stop_times_with_shapes(gtfs: dict[str, DataFrame]) -> DataFrame:
     """Stop events with service, position, route, shape and nearest shape point.
 
     The nearest point is found once per distinct (stop, shape), not per stop event.
@@ -66,16 +66,16 @@ def stop_times_with_shapes(gtfs: dict[str, DataFrame], size: float = 0.01) -> Da
         .join(routes.select("route_id", "route_code"), "route_id", "left")
         .withColumn("route", F.coalesce("route_code", F.lit(MISSING)))
     )
-    on_shape = nearest_for_stop(events.select("stop_id", "shape_id", "lat", "lon").distinct(), gtfs["shapes"], size)
+    on_shape = nearest_for_stop(events.select("stop_id", "shape_id", "lat", "lon").distinct(), gtfs["shapes"])
     return events.join(on_shape.select("stop_id", "shape_id", "shape_seq"), ["stop_id", "shape_id"]).select(
         "service_id", "arrival", "departure", "stop_id", "stop_seq", "lat", "lon", "route", "shape_id", "shape_seq", "trip_id"
     )
 
 
-def nearest_for_stop(stops: DataFrame, shapes: DataFrame, size: float = 0.01) -> DataFrame:
+def nearest_for_stop(stops: DataFrame, shapes: DataFrame) -> DataFrame:
     """Nearest shape point per (stop, shape); the first point wins ties."""
     points = shapes.select("shape_id", F.col("seq").alias("shape_seq"), "lat", "lon")
-    return nearest_point(stops, points, ["stop_id", "shape_id"], ["shape_id"], ["shape_seq"], ["shape_seq"], size=size)
+    return nearest_point(stops, points, ["stop_id", "shape_id"], ["shape_id"], ["shape_seq"], ["shape_seq"])
 
 
 def shapes_with_routes(gtfs: dict[str, DataFrame], route_label: Column | None = None, unit_km: bool = False) -> DataFrame:

@@ -339,7 +339,7 @@ def outlier_points(assigned: DataFrame, trips: DataFrame, block: int = POINT_BLO
 
 
 def nearest_shape_point(
-    pings: DataFrame, shapes: DataFrame, row_id: Sequence[str], tie: str = "last", size: float = 0.01
+    pings: DataFrame, shapes: DataFrame, row_id: Sequence[str], tie: str = "last"
 ) -> DataFrame:
     """Nearest point of the ping's shape: ``shape_seq``, its place and ``distance_m``."""
     sign = -1 if tie == "last" else 1
@@ -348,13 +348,13 @@ def nearest_shape_point(
         F.col("lat").alias("shape_lat"), F.col("lon").alias("shape_lon"), F.col("dist").alias("shape_dist"),
     )
     return nearest_point(
-        pings, points, row_id, ["shape"], ["__tie"], ["shape_seq", "shape_lat", "shape_lon", "shape_dist"], size=size
+        pings, points, row_id, ["shape"], ["__tie"], ["shape_seq", "shape_lat", "shape_lon", "shape_dist"]
     )
 
 
-def matched_pings(points: DataFrame, shapes: DataFrame, lines: DataFrame, row_id: Sequence[str] = ("day", "bus", "idx"), size: float = 0.01) -> DataFrame:
+def matched_pings(points: DataFrame, shapes: DataFrame, lines: DataFrame, row_id: Sequence[str] = ("day", "bus", "idx")) -> DataFrame:
     """Pings with trip, nearest shape point and final problem label."""
-    located = nearest_shape_point(points.withColumnRenamed("trip_shape", "shape"), shapes, row_id, size=size)
+    located = nearest_shape_point(points.withColumnRenamed("trip_shape", "shape"), shapes, row_id)
     limits = lines.select("shape", "threshold_m")
     label = F.when(F.col("trip_problem") != NO_PROBLEM, F.col("trip_problem")).when(
         F.col("distance_m") > F.col("threshold_m"), OUTLIER_POINT

@@ -1,10 +1,14 @@
 """Exact nearest-point join driven by grid cells.
 
-Only distinct cells are compared with each other, so that step grows with the area covered and not
-with the number of rows. For a pair of cells the distance of their centres, plus or minus the cell
-radii, bounds every point distance; cells that cannot hold the nearest point are dropped, and rows
-meet only the points of the cells that remain. The small tables (cells, points, cell pairs) are
-written to the shared scratch folder, so nothing is computed twice and a lost executor costs little.
+Rows are grouped into grid cells and points are reduced to distinct places. For every cell that holds
+rows, the distance from its centre to the closest place, plus the cell's width, bounds the distance of
+any place that can be nearest to any row of the cell; the places within that bound are listed under
+the cell. Places are looked up in tiles around the cell, first small, then growing until the bound
+lies inside the tiles, so no cell meets all places of its key unless it is that far away.
+
+This work depends on the area covered, not on the number of rows. Rows then join the short list of
+their cell: no row is multiplied and, while the lists are small enough to broadcast, none is shuffled.
+The small tables are written to the shared scratch folder, so nothing is computed twice.
 """
 
 from __future__ import annotations
@@ -12,34 +16,31 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busweave.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, cell_index, haversine_m
-from busweave.operators.best import best_match
 from busweave.session import checkpointed
 
-WHOLE_WORLD = 1000.0
+FIRST_TILE_CELLS = 3
+TILE_GROWTH = 8
+LIST_ROWS = 64
+SMALLEST_CELL, LARGEST_CELL = 0.001, 0.5
 
 
-def _cells(df: DataFrame, at: tuple[str, str], size: float, names: tuple[str, str]) -> DataFrame:
-    return df.withColumns({names[0]: cell_index(F.col(at[0]), size), names[1]: cell_index(F.col(at[1]), size)})
-
-
-def _centre(index: str, size: float):
-    return (F.col(index) + 0.5) * size
+def cell_radius_m(size: float) -> float:
+    """Upper bound of the distance from a cell's centre to any of its points."""
+    return size * METRES_PER_DEGREE * math.sqrt(0.5) * 1.001
 
 
-def _with_vector(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """Earth-centred coordinates of a cell's centre: chords compare like arcs and cost no trigonometry."""
-    lat, lon = F.radians(_centre(f"{prefix}i", size)), F.radians(_centre(f"{prefix}j", size))
-    return df.withColumns(
-        {
-            f"{prefix}x": EARTH_RADIUS_M * F.cos(lat) * F.cos(lon),
-            f"{prefix}y": EARTH_RADIUS_M * F.cos(lat) * F.sin(lon),
-            f"{prefix}z": EARTH_RADIUS_M * F.sin(lat),
-        }
-    )
+def _vector(prefix: str, lat: Column, lon: Column) -> dict[str, Column]:
+    """Earth-centred coordinates: chords compare like arcs and cost no trigonometry per pair."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return {
+        f"{prefix}x": EARTH_RADIUS_M * F.cos(lat) * F.cos(lon),
+        f"{prefix}y": EARTH_RADIUS_M * F.cos(lat) * F.sin(lon),
+        f"{prefix}z": EARTH_RADIUS_M * F.sin(lat),
+    }
 
 
 def _square(a: str, b: str) -> Column:
@@ -56,64 +57,56 @@ def _chord_square(arc: Column) -> Column:
     return F.pow(2 * EARTH_RADIUS_M * F.sin(half), F.lit(2.0))
 
 
-def cell_radius_m(size: float) -> float:
-    """Upper bound of the distance from a cell's centre to any of its points."""
-    return size * METRES_PER_DEGREE * math.sqrt(0.5) * 1.001
-
+def cell_size(spots: DataFrame, keys: Sequence[str]) -> float:
+    """Cell size in degrees that gives about one place per cell, from each key's extent and count."""
+    extent = spots.groupBy(*keys).agg(
+        (F.max("__rlat") - F.min("__rlat") + 1e-4).alias("h"),
+        (F.max("__rlon") - F.min("__rlon") + 1e-4).alias("w"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    size = extent.agg(F.avg(F.sqrt(F.col("h") * F.col("w") / F.col("n")))).first()[0]
+    return min(LARGEST_CELL, max(SMALLEST_CELL, size or LARGEST_CELL))
 
-def candidate_cells(
-    left_cells: DataFrame, right_cells: DataFrame, keys: Sequence[str], size: float, reach: Sequence[float]
-) -> DataFrame:
-    """Pairs (left cell, right cell) that can hold a nearest pair.
 
-    ``reach`` lists tile sizes in degrees. A left cell is settled at the first tile size that
-    provably covers all its candidates; the last size must cover the world.
-    """
+def cell_options(cells: DataFrame, spots: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """Places that can be nearest to a row of each cell."""
     keys = list(keys)
-    slack = 4 * cell_radius_m(size)
-    left_id = [*keys, "__li", "__lj"]
-    rest, found = _with_vector(left_cells, "__l", size), None
-    right_cells = _with_vector(right_cells, "__r", size)
-    for level, tile in enumerate(reach):
-        last = level == len(reach) - 1
-        near = [-1, 0, 1]
-        a = rest.withColumns(
-            {
-                "__ti": F.floor(_centre("__li", size) / tile) if tile < 360 else F.lit(0),
-                "__tj": F.floor(_centre("__lj", size) / tile) if tile < 360 else F.lit(0),
-            }
-        )
-        if tile < 360:
-            b = right_cells.withColumn("__di", F.explode(F.array(*map(F.lit, near)))).withColumn(
-                "__dj", F.explode(F.array(*map(F.lit, near)))
-            )
-            b = b.withColumns(
-                {
-                    "__ti": F.floor(_centre("__ri", size) / tile) + F.col("__di"),
-                    "__tj": F.floor(_centre("__rj", size) / tile) + F.col("__dj"),
-                }
-            ).drop("__di", "__dj")
-        else:
-            b = right_cells.withColumns({"__ti": F.lit(0), "__tj": F.lit(0)})
+    cell = [*keys, "__li", "__lj"]
+    lat, lon = (F.col("__li") + 0.5) * size, (F.col("__lj") + 0.5) * size
+    rest = cells.withColumns(_vector("__l", lat, lon))
+    width = 2 * cell_radius_m(size)
+    tile, found = FIRST_TILE_CELLS * size, None
+    while True:
+        last = tile >= 180
+        index = lambda c: F.lit(0).cast("long") if last else F.floor(c / tile)  # noqa: E731,B023
         tiles = [*keys, "__ti", "__tj"]
+        b = spots.withColumns({"__ti": index(F.col("__rlat")), "__tj": index(F.col("__rlon"))})
+        around = [0] if last else [-1, 0, 1]
+        nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in around for j in around])
+
+        def with_tiles(frame: DataFrame) -> DataFrame:
+            listed = frame.withColumn("__t", F.explode(nine))  # noqa: B023
+            return listed.withColumns(
+                {"__ti": index(lat) + F.col("__t.i"), "__tj": index(lon) + F.col("__t.j")}  # noqa: B023
+            ).drop("__t")
+
         square = _square("__l", "__r")
-        vector = ["__lx", "__ly", "__lz"]
-        best = a.join(b, tiles).groupBy(*left_id, "__ti", "__tj", *vector).agg(_arc(F.min(square)).alias("__best"))
-        best = best.withColumn("__limit", _chord_square(F.col("__best") + slack))
-        kept = best.join(b, tiles).where(square <= F.col("__limit"))
+        met = with_tiles(rest).join(b, tiles)
+        best = met.groupBy(*cell, "__lx", "__ly", "__lz").agg((_arc(F.min(square)) + width).alias("__reach"))
         if not last:
-            widest = F.least(F.abs(_centre("__li", size)) + tile, F.lit(90.0))
-            covered = tile * METRES_PER_DEGREE * F.cos(F.radians(widest))
-            kept = kept.where(F.col("__best") + slack <= covered)
-        kept = kept.select(*left_id, "__ri", "__rj")
-        if last:
-            return kept if found is None else found.unionByName(kept)
-        kept = checkpointed(kept, "near-cells")
+            # Everything this close to the centre lies in the nine tiles around it.
+            edge = F.cos(F.radians(F.least(F.abs(lat) + tile, F.lit(90.0))))
+            best = best.where(F.col("__reach") <= tile * METRES_PER_DEGREE * edge)
+        best = best.withColumn("__limit", _chord_square(F.col("__reach"))).drop("__reach")
+        kept = with_tiles(best).join(b, tiles).where(square <= F.col("__limit"))
+        kept = checkpointed(kept.select(*cell, "__rlat", "__rlon", "__rx", "__ry", "__rz", "__r"), "near-options")
         found = kept if found is None else found.unionByName(kept)
-        rest = rest.join(kept.select(*left_id).distinct(), left_id, "left_anti")
+        if last:
+            return found
+        rest = rest.join(kept.select(*cell).distinct(), cell, "left_anti")
         if rest.isEmpty():
             return found
-    return found
+        tile *= TILE_GROWTH
 
 
 def nearest_point(
@@ -125,44 +118,57 @@ def nearest_point(
     take: Sequence[str],
     left_at: tuple[str, str] = ("lat", "lon"),
     right_at: tuple[str, str] = ("lat", "lon"),
-    size: float = 0.01,
-    reach: Sequence[float] = (WHOLE_WORLD,),
+    size: float | None = None,
     distance: str = "distance_m",
+    how: str = "left",
 ) -> DataFrame:
     """``left`` plus ``take`` and the distance (to the millimetre) of its nearest ``right`` point.
 
-    Ties go to the smallest ``prefer``. Rows whose key has no point keep nulls. ``row_id`` must
-    identify a row of ``left``.
+    Ties go to the smallest ``prefer``. Rows whose key has no point keep nulls, or drop out
+    with ``how="inner"``. ``row_id`` must identify a row of ``left``. ``size`` is the cell size in degrees, by default from the density.
     """
     keys, take, prefer = list(keys), list(take), list(prefer)
-    extra = [c for c in dict.fromkeys([*prefer, *take])]
-    spots = (
-        right.groupBy(*keys, F.col(right_at[0]).alias("__rlat"), F.col(right_at[1]).alias("__rlon"))
-        .agg(F.min(F.struct(*extra)).alias("__r"))
+    extra = list(dict.fromkeys([*prefer, *take]))
+    spots = right.groupBy(*keys, F.col(right_at[0]).alias("__rlat"), F.col(right_at[1]).alias("__rlon")).agg(
+        F.min(F.struct(*extra)).alias("__r")
     )
-    spots = _cells(spots, ("__rlat", "__rlon"), size, ("__ri", "__rj"))
-    rows = _cells(left, left_at, size, ("__li", "__lj"))
+    spots = checkpointed(spots.withColumns(_vector("__r", F.col("__rlat"), F.col("__rlon"))), "spots")
+    size = size or cell_size(spots, keys)
+    rows = left.withColumns({"__li": cell_index(F.col(left_at[0]), size), "__lj": cell_index(F.col(left_at[1]), size)})
+    cell = [*keys, "__li", "__lj"]
     # The cell table is small but every cell means work, so it keeps the full number of partitions.
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left_cells = checkpointed(rows.select(*keys, "__li", "__lj").distinct().repartition(parts, *keys, "__li", "__lj"), "cells")
-    spots = checkpointed(spots, "spots")
-    pairs = candidate_cells(
-        left_cells, spots.select(*keys, "__ri", "__rj").distinct(), keys, size, reach
-    )
-    options = checkpointed(pairs, "pairs").join(spots, [*keys, "__ri", "__rj"]).drop("__ri", "__rj")
-    # Second cut, now with real points: a point farther than the best one by more than the cell's
-    # width cannot win for any row of the cell.
-    cell = [*keys, "__li", "__lj"]
-    to_spot = haversine_m(_centre("__li", size), _centre("__lj", size), F.col("__rlat"), F.col("__rlon"))
-    limit = options.groupBy(*cell).agg((F.min(to_spot) + 2 * cell_radius_m(size)).alias("__limit"))
-    options = checkpointed(options.join(limit, cell).where(to_spot <= F.col("__limit")).drop("__limit"), "options")
-    metres = F.round(haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col("__rlat"), F.col("__rlon")), 3)
-    found = best_match(
-        rows,
-        options,
-        cell,
-        row_id,
-        {"m": metres, **{c: F.col(f"__r.{c}") for c in prefer}},
-        {**{c: F.col(f"__r.{c}") for c in take}, distance: metres},
+    cells = checkpointed(rows.select(*cell).distinct().repartition(parts, *cell), "cells")
+    options = cell_options(cells, spots, keys, size)
+
+    # Lists hold at most LIST_ROWS places; a crowded cell gets several.
+    ranked = options.withColumn(
+        "__part", F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy("__rlat", "__rlon")) - 1) / LIST_ROWS)
     )
-    return found.drop("__li", "__lj")
+    place = F.struct("__rlat", "__rlon", "__rx", "__ry", "__rz", *[F.col(f"__r.{c}").alias(c) for c in extra])
+    lists = checkpointed(ranked.groupBy(*cell, "__part").agg(F.collect_list(place).alias("__places")), "near-lists")
+
+    # Whole millimetres from chords order the few places of the list; no trigonometry of coordinates.
+    def scored(p: Column) -> Column:
+        parts = [F.col(f"__l{c}") - p[f"__r{c}"] for c in "xyz"]
+        arc = _arc(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+        return F.struct(
+            F.floor(arc * 1000 + 0.5).alias("__mm"),
+            *[p[c].alias(f"__o_{c}") for c in prefer],
+            *[p[c].alias(f"__t_{c}") for c in take],
+            p["__rlat"].alias("__rlat"),
+            p["__rlon"].alias("__rlon"),
+        )
+
+    vectors = _vector("__l", F.col(left_at[0]), F.col(left_at[1]))
+    # Below the join, so that the vectors are computed once per row and not once per place.
+    near = rows.withColumns(vectors).join(lists, cell, how)
+    hits = near.withColumn("__best", F.array_min(F.transform("__places", scored)))
+    if (lists.agg(F.max("__part")).first()[0] or 0) > 0:
+        hits = (
+            hits.groupBy(*[F.col(c).alias(f"__id_{c}") for c in row_id])
+            .agg(F.any_value(F.struct(*left.columns)).alias("__row"), F.min("__best").alias("__best"))
+            .select("__row.*", "__best")
+        )
+    metres = haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col("__best.__rlat"), F.col("__best.__rlon"))
+    return hits.select(*left.columns, *[F.col(f"__best.__t_{c}").alias(c) for c in take], F.round(metres, 3).alias(distance))

@@ -11,7 +11,7 @@ from busweave.operators.interpolate import BETWEEN, interpolate_times
 from busweave.session import checkpointed
 
 
-def match_trips(pings: DataFrame, shapes: DataFrame, size: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def match_trips(pings: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matched pings and trips. Shared intermediate results are written once to the scratch folder."""
     numbered = checkpointed(M.number_pings(pings), "pings")
     lines = checkpointed(M.shape_lines(shapes), "shape-lines")
@@ -20,7 +20,7 @@ def match_trips(pings: DataFrame, shapes: DataFrame, size: float = 0.01) -> tupl
     pairs = checkpointed(M.pair_trips(closest), "pairs")
     trips = checkpointed(M.build_trips(pairs, checkpointed(M.choose_shapes(pairs, vehicles, lines), "chosen")), "trips")
     points = M.outlier_points(M.assign_trip(numbered, trips), trips)
-    return M.matched_pings(points, shapes, lines, size=size), trips
+    return M.matched_pings(points, shapes, lines), trips
 
 
 def stop_visits(matched: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def stop_visits(matched: DataFrame, shapes: DataFrame, stops: DataFrame) -> Data
     )
 
 
-def labelled_visits(pings: DataFrame, shapes: DataFrame, stops: DataFrame, routes: DataFrame, size: float = 0.01) -> DataFrame:
+def labelled_visits(pings: DataFrame, shapes: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
     """Stop visits with the next bus at the same stop of the day, headway and bunching label."""
-    matched, _ = match_trips(pings, shapes, size)
+    matched, _ = match_trips(pings, shapes)
     visits = checkpointed(stop_visits(checkpointed(matched, "matched"), shapes, stops).join(routes, "shape"), "visits")
     keys = ["day", "route", "shape", "seq"]
     return label_bunching(next_bus_headway(visits, keys, carry=["ts", "bus", "trip_num"]))

@@ -9,6 +9,7 @@ from busweave.operators import interpolate as I
 from busweave.operators.nearest import nearest_point
 from busweave.plans import bindings as B
 from busweave.plans.registry import query
+from busweave.session import checkpointed
 
 _D = f"round({B.sql_haversine('p.lat', 'p.lon', 'h.lat', 'h.lon')}, 3)"
 
@@ -25,9 +26,9 @@ _D = f"round({B.sql_haversine('p.lat', 'p.lon', 'h.lat', 'h.lon')}, 3)"
 def _(t):
     points = B.shapes(t).withColumn("neg", -F.col("seq"))
     out = nearest_point(
-        B.pings(t).select("event_id", "shape", "lat", "lon"), points, ["event_id"], ["shape"], ["neg"], ["seq"], size=0.05
+        B.pings(t).select("event_id", "shape", "lat", "lon"), points, ["event_id"], ["shape"], ["neg"], ["seq"], how="inner"
     )
-    return out.where("seq IS NOT NULL").select("event_id", "seq", "distance_m")
+    return out.select("event_id", "seq", "distance_m")
 
 
 _ST = f"round({B.sql_haversine('p.lat', 'p.lon', 'h.lat', 'h.lon')}, 3)"
@@ -184,7 +185,8 @@ est AS (SELECT f.shape, f.seq, CASE WHEN f.known THEN f.s * 1000 WHEN n.dist = p
 
 
 def _timed(t):
-    rows = B.shapes(t).select(
+    # Both passes of the interpolation read these rows.
+    rows = checkpointed(B.shapes(t), "shapes").select(
         "shape", "seq", "dist", F.when(F.col("l_returnflag") != "N", F.col("s") * 1000).alias("at_ms")
     )
     return I.interpolate_times(rows, ["shape"])

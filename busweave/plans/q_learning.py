@@ -69,7 +69,10 @@ for _kind in L.REGRESSORS:
     query(f"m14_regressor_{_kind}")(_regressor(_kind))
 
 
-@query("m05_scale_pipeline")
+_STD = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in COLS)
+
+
+@query("m05_scale_pipeline", B.sql(B.FEATURES, body=f"SELECT row_id, {_STD} FROM features"))
 def _(t):
     from pyspark.ml.functions import vector_to_array
 

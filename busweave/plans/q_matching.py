@@ -232,7 +232,7 @@ def _(t):
 
 @query("g06_matched_pings")
 def _(t):
-    matched, _ = match_trips(gps(t), checkpointed(tracks(t), "tracks"), size=0.05)
+    matched, _ = match_trips(gps(t), checkpointed(tracks(t), "tracks"))
     return matched.select("day", "bus", "idx", "gps_id", "trip_num", "shape", "shape_seq", "distance_m", "problem")
 
 
@@ -252,7 +252,7 @@ def _stops(t):
 @query("j02_trips_shapes_stops")
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
-    matched, _ = match_trips(gps(t), shapes, size=0.05)
+    matched, _ = match_trips(gps(t), shapes)
     latest = M.latest_per_shape_point(matched.where("shape_seq IS NOT NULL"))
     return M.trips_shapes_stops(latest, shapes, _stops(t))
 
@@ -260,7 +260,7 @@ def _(t):
 @query("w05_stop_visits")
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
-    matched, _ = match_trips(gps(t), shapes, size=0.05)
+    matched, _ = match_trips(gps(t), shapes)
     return stop_visits(matched, shapes, _stops(t))
 
 
@@ -268,5 +268,5 @@ def _(t):
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
     routes = shapes.select("shape", "route").distinct()
-    out = labelled_visits(gps(t), shapes, _stops(t), routes, size=0.05)
+    out = labelled_visits(gps(t), shapes, _stops(t), routes)
     return out.select("day", "route", "shape", "seq", "bus", F.col("sb.bus").alias("next_bus"), "headway_min", "bunched")

@@ -11,6 +11,7 @@ from busweave.operators import trajectory as T
 from busweave.operators.ordered import blocks_of, hours
 from busweave.plans import bindings as B
 from busweave.plans.registry import query
+from busweave.session import checkpointed
 
 # Pings are hours apart in these tables: pauses and limits are scaled to give segments and outliers.
 GAP_S, MAX_POINTS = 200000, 40
@@ -203,7 +204,7 @@ def _savgol_sql() -> str:
 
 @query("w14_savgol", B.sql(B.SHAPES, body=_savgol_sql()))
 def _(t):
-    rows = B.shapes(t).select("shape", "seq", (F.col("lat") + F.col("dist") / 1000).alias("y"))
+    rows = checkpointed(B.shapes(t), "shapes").select("shape", "seq", (F.col("lat") + F.col("dist") / 1000).alias("y"))
     out = S.savgol(rows, ["shape"], ["seq"], blocks_of("seq", 1024), "y")
     return out.select("shape", "seq", F.round("smooth", 6).alias("smooth"))
 

@@ -11,8 +11,8 @@ ONE_FILE_BYTES = 1 << 30
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: str = ",") -> None:
-    """Header in every part file. Rows are spread by the partition columns plus a row hash when there
-    are any, so a busy partition is written by several tasks."""
+    """Header in every part file. No shuffle: each task writes its own rows to the partitions they
+    belong to, so a busy partition is written by many tasks."""
     writer = df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 

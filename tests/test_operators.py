@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from busweave.operators import bunching, enrich, interpolate, matching, neighbours, ordered, quantiles, stats
 from busweave.operators.headway import label_bunching, next_bus_headway
+from busweave.operators import nearest
 from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import top_values
 from busweave.streaming import feeds
@@ -78,8 +79,9 @@ def test_exact_quantiles(skewed):
             assert out.loc[(key, c), "q10"] == pytest.approx(np.nanpercentile(part[c], 10))
 
 
-@pytest.mark.parametrize("keys", [["g"], []])
-def test_nearest_point(spark, keys):
+@pytest.mark.parametrize("keys, size, rows", [(["g"], None, 64), ([], None, 64), (["g"], 0.5, 3)])
+def test_nearest_point(spark, monkeypatch, keys, size, rows):
+    monkeypatch.setattr(nearest, "LIST_ROWS", rows)
     rng = random.Random(3)
     left = [(i, rng.randrange(3), rng.uniform(-26, -24), rng.uniform(-50, -48)) for i in range(150)] + [(999, 1, 10.0, 120.0)]
     right = [(j, rng.randrange(3), round(rng.uniform(-26, -24), 2), round(rng.uniform(-50, -48), 2)) for j in range(80)]
@@ -87,7 +89,7 @@ def test_nearest_point(spark, keys):
     out = nearest_point(
         spark.createDataFrame(left, "id long, g int, lat double, lon double"),
         spark.createDataFrame(right, "pid long, g int, lat double, lon double"),
-        ["id"], keys, ["pid"], ["pid"], size=0.1, reach=(0.5, 4.0, 1000.0),
+        ["id"], keys, ["pid"], ["pid"], size=size,
     ).toPandas().set_index("id")
     assert len(out) == len(left)
     for i, g, lat, lon in left:
