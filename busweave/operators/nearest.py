@@ -138,7 +138,10 @@ def nearest_point(
     cell = [*keys, "__li", "__lj"]
     # The cell table is small but every cell means work, so it keeps the full number of partitions.
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = checkpointed(rows.select(*cell).distinct().repartition(parts, *cell), "cells")
+    placed = rows.select(*cell).dropna().distinct()
+    if keys:  # a key without places would be searched for in ever larger tiles
+        placed = placed.join(spots.select(*keys).distinct(), keys, "left_semi")
+    cells = checkpointed(placed.repartition(parts, *cell), "cells")
     options = cell_options(cells, spots, keys, size)
 
     # Lists hold at most LIST_ROWS places; a crowded cell gets several.
