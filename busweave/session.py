@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,6 +26,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "busweave")
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="busweave-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,14 +34,18 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "busweave")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """New path below the cluster's shared checkpoint folder.
+    """New path below the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where ``spark.checkpoint.dir`` is unset, as in tests.
+    Where it is unset, a session on one machine uses a temporary folder; a cluster session is refused,
+    because its executors could not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/busweave-{label}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="busweave-"), label)
+    if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="busweave-")
+    return f"{base.rstrip('/')}/busweave-{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame, label: str) -> DataFrame:
