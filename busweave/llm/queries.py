@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from busweave.llm import exact, simhash
+from busweave.llm import exact, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op6_mix_sources": mixing.op6_mix_sources,
 }
 SQL = {
     "op2_exact_dedup": exact.SQL,
