@@ -1,11 +1,14 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from busweave.llm import exact, mixing, simhash
+from busweave.llm import bpe, exact, mixing, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_token_files": tokenfiles.op8_token_files,
 }
 SQL = {
     "op2_exact_dedup": exact.SQL,
