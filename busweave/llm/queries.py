@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from busweave.llm import bpe, exact, mixing, simhash, tokenfiles, toxicity
+from busweave.llm import bpe, exact, mixing, simhash, substring, tokenfiles, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_files": tokenfiles.op8_token_files,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 SQL = {
     "op2_exact_dedup": exact.SQL,
