@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty. Rows with a null id neither lose words nor make others lose any. Rows with equal ids
     don't take from each other, but each loses what a smaller id has. Texts below ``width`` words lose nothing.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(text_col).cast("int"))
+    keyed = docs.withColumn("__key", F.hash(text_col))
     slim = keyed.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("__key").alias("text_key"))
     marks = repeats(slim, width).select(F.col("id").alias("__id"), F.col("text_key").alias("__tk"), F.col("ats").alias("__ats"))
     joined = keyed.join(marks, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__tk")), "left").drop("__id", "__tk", "__key")
