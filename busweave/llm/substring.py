@@ -26,7 +26,7 @@ WIDTH = 13
 #: Rows of the sketch; cells per window and most cells of a row, as powers of two; cells per slice that is merged alone.
 DEPTH, ROOM, MOST_CELLS, SLICE = 2, 1, 29, 20
 #: A window that may occur this often is common; what is common is kept per 2^COARSE cells of the first row.
-COMMON, COARSE, SALTS = 1000, 6, 64
+COMMON, COARSE, SALTS = 8000, 6, 64
 #: Windows that a partition counts before it gives its sketch away and starts a new one.
 SKETCH_WINDOWS = 4_000_000
 
