@@ -20,7 +20,7 @@ def word_count(text: Column) -> Column:
 
 def draw(*parts: Column) -> Column:
     """Uniform long below 2^60 that depends on ``parts`` alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(*parts), 4)
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:

@@ -99,6 +99,17 @@ def one_pass(state: Broadcast, rule: Ftrl, epoch: int) -> Callable[[pd.DataFrame
     return learn
 
 
+def average(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Mean state of a slice of the coordinates, packed into one row."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        total = part.groupby("at")[["z", "n"]].sum() / shards
+        columns = {"at": total.index.to_numpy(np.int32), "z": total["z"].to_numpy(), "n": total["n"].to_numpy()}
+        return pd.DataFrame({name: [values.tobytes()] for name, values in columns.items()})
+
+    return pack
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 16_000, shard_rows: int = 8_000, epochs: int = 4, rule: Ftrl = Ftrl()) -> np.ndarray:
     """Weights of length 2^BITS + 1, most of them zero.
 
@@ -123,9 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     for epoch in range(epochs):
         state = spark.sparkContext.broadcast((z, n))
         moved = rows.groupBy("shard").applyInPandas(one_pass(state, rule, epoch), "at long, z double, n double")
-        merged = moved.groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
+        slices = moved.groupBy(F.shiftright("at", 12)).applyInPandas(average(shards), "at binary, z binary, n binary").collect()
         z, n = np.zeros_like(z), np.zeros_like(n)
-        z[merged["at"]], n[merged["at"]] = merged["z"], merged["n"]
+        for part in slices:
+            at = np.frombuffer(part["at"], np.int32)
+            z[at], n[at] = np.frombuffer(part["z"]), np.frombuffer(part["n"])
         state.unpersist()
     return rule.weights(z, n)
 
