@@ -3,8 +3,8 @@
 File format, little-endian throughout:
 
     magic "BWTOKEF1", then 6 unsigned 64-bit numbers: documents n, ids u, low bits l, bytes of the high part,
-    number of select samples, base (ids in all earlier files)
-    ids            u x unsigned 32-bit
+    number of select samples, bytes per id
+    ids            u x unsigned 16-bit where the vocabulary allows, else 32-bit
     low bits       n values of l bits, packed, padded to whole bytes
     high bits      bit (end_i >> l) + i is set for the i-th document's end, padded to whole bytes
     samples        unsigned 32-bit bit positions of every 256th set high bit
@@ -14,15 +14,16 @@ The boundaries take about 2 + log2(u / n) bits a document; ``select`` finds one
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,22 +79,23 @@ class EliasFano:
         return (at << self.low_bits) + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def file_bytes(ids: list[np.ndarray], base: int) -> bytes:
-    ends = EliasFano.of(np.cumsum([len(x) for x in ids])) if ids else EliasFano.of(np.array([]))
-    head = HEAD.pack(MAGIC, len(ids), sum(map(len, ids)), ends.low_bits, len(ends.high), len(ends.samples), base)
-    return b"".join([head, *(x.astype("<u4").tobytes() for x in ids), ends.low.tobytes(), ends.high.tobytes(), ends.samples.tobytes()])
+def file_bytes(documents: list[bytes], dtype: str) -> bytes:
+    width = np.dtype(dtype).itemsize
+    ends = EliasFano.of(np.cumsum([len(x) // width for x in documents]))
+    head = HEAD.pack(MAGIC, len(documents), sum(map(len, documents)) // width, ends.low_bits, len(ends.high), len(ends.samples), width)
+    return b"".join([head, *documents, ends.low.tobytes(), ends.high.tobytes(), ends.samples.tobytes()])
 
 
 class TokenFile:
     """A file's bytes, read without copying the id array."""
 
     def __init__(self, data: bytes):
-        magic, n, u, bits, high, samples, self.base = HEAD.unpack_from(data)
+        magic, n, u, bits, high, samples, width = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = HEAD.size
-        self.ids = np.frombuffer(data, "<u4", u, at)
-        at += 4 * u
+        self.ids = np.frombuffer(data, f"<u{width}", u, at)
+        at += width * u
         size = -(-n * bits // 8)
         low, at = np.frombuffer(data, np.uint8, size, at), at + size
         self.ends = EliasFano(n, bits, low, np.frombuffer(data, np.uint8, high, at), np.frombuffer(data, "<u4", samples, at + high))
@@ -103,40 +105,71 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins what it separates, so that each distinct
-    word between ASCII blanks is encoded once and remembered, up to a bound."""
+    """Packed ids of whole texts. The tokenizer drops white space and never joins what it separates, so that each
+    distinct word between ASCII blanks is encoded once and remembered, up to a bound. New words go to the tokenizer
+    together, with a sign between them that is a single id; words that hold the sign go there alone."""
+
+    SIGNS = "\u00a7\u00ac\u00a4~|"
+
+    def __init__(self, path: str, dtype: str, bound: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer, self.seen, self.dtype, self.bound = Tokenizer.from_file(path), {}, dtype, bound
+        ids = {sign: self.ids([sign])[0] for sign in self.SIGNS}
+        self.sign = next((sign for sign in self.SIGNS if len(ids[sign]) == 1), None)
+        self.sign_id = ids[self.sign][0] if self.sign else None
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        sign = self.sign.encode() if self.sign else b""
+        plain = [w for w in words if sign and sign not in w]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.array(self.ids([(b" " + sign + b" ").join(some).decode()])[0], self.dtype)
+            cuts, packed = np.flatnonzero(ids == self.sign_id).tolist(), ids.tobytes()
+            width = ids.itemsize
+            for word, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)]):
+                self.seen[word] = packed[(a + 1) * width : b * width]
+        if len(plain) < len(words):
+            done = set(plain)
+            rest = [w for w in words if w not in done]
+            self.seen.update((w, np.array(ids, self.dtype).tobytes()) for w, ids in zip(rest, self.ids([w.decode() for w in rest])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > self.bound:
+            self.seen.clear()
+        split = [text.encode().split() for text in texts]
+        new = {w for words in split for w in words}.difference(self.seen)
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.seen.__getitem__, words)) for words in split]
 
-    SPLIT = regex.compile(r"[^ \t\n\r]+").findall
 
-    def __init__(self, path: str, bound: int = 400_000):
-        self.tokenizer, self.seen, self.bound = Tokenizer.from_file(path), {}, bound
+@lru_cache(maxsize=1)
+def encoder_of(path: str, dtype: str) -> Encoder:
+    """The worker's own encoder; tasks that follow in the same Python worker find its words."""
+    return Encoder(path, dtype)
 
-    def encode(self, text: str) -> list[int]:
-        words = self.SPLIT(text)
-        if len(self.seen) > self.bound:
-            self.seen.clear()
-        new = list({w for w in words if w not in self.seen})
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.seen[word] = got.ids
-        seen, ids = self.seen, []
-        for word in words:
-            ids += seen[word]
-        return ids
+
+def id_type(path: str, end_id: int) -> str:
+    largest = max([end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``(doc_id, ids)`` with ``end_id`` appended and ids packed, 16 bits each where the vocabulary allows."""
+def tokenize(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
+    """``(doc_id, ids)`` with ``end_id`` appended and ids packed as ``dtype``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, end = encoder_of(path, dtype), np.array([end_id], dtype).tobytes()
         for batch in small_batches(batches):
-            rows = [np.array([*encoder.encode(t.as_py() or ""), end_id], "<u4").tobytes() for t in batch.column(1)]
+            rows = [ids + end for ids in encoder.encode([t.as_py() or "" for t in batch.column(1)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(tokens: DataFrame, folder: str, dtype: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Write ``tokens (doc_id, ids)`` in ascending doc_id order (nulls first); returns the list of files.
 
     ``tokens`` must be stored, as it is read several times. Its rows are dealt by ranges of doc_id, sorted, and each
@@ -144,7 +177,7 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
     Rows with equal doc_id keep an order by their ids. ``(file, docs, ids, path)``; a range's ids are in memory once.
     """
     total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, -(-total // (4 * file_ids)))
+    files = max(1, -(-total // (np.dtype(dtype).itemsize * file_ids)))
     order = ["doc_id", F.xxhash64("ids")]
     dealt = tokens.withColumn("tie", order[1]).repartitionByRange(int(files), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     dealt = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "ids")
@@ -154,17 +187,17 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
         for batch in batches:
             if batch.num_rows:
                 number = batch.column("file")[0].as_py()
-                ids += [np.frombuffer(x.as_py(), "<u4") for x in batch.column("ids")]
+                ids += batch.column("ids").to_pylist()
                 keys += batch.column("doc_id").to_pylist()
         if number is not None:
             system, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
             system.create_dir(root, recursive=True)
-            data = file_bytes(ids, 0)
+            data = file_bytes(ids, dtype)
             target, draft = f"{root}/{number:06d}.ids", f"{root}/.{number:06d}-{np.random.default_rng().integers(1 << 62)}"
             with system.open_output_stream(draft) as out:
                 out.write(data)
             system.move(draft, target)
-            values = [[number], [len(ids)], [sum(map(len, ids))], [zlib.crc32(data)], [keys]]
+            values = [[number], [len(ids)], [sum(map(len, ids)) // np.dtype(dtype).itemsize], [zlib.crc32(data)], [keys]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["file", "docs", "ids", "crc32", "doc_ids"])
 
@@ -190,7 +223,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 for at in range(0, len(ends), 512):
                     a, b = starts[at : at + 512], ends[at : at + 512]
-                    rows = [tokens.ids[x:y].tobytes() for x, y in zip(a, b)]
+                    rows = [tokens.ids[x:y].astype("<u4").tobytes() for x, y in zip(a, b)]
                     columns = [keys.values[at : at + 512], pa.array(a + base.as_py()), pa.array(b - a), pa.array(rows, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
@@ -204,8 +237,9 @@ def token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     gives no file. ``folder`` must be shared by all executors.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    tokens = checkpointed(tokenize(docs, path, end_id), "tokens")
-    return checkpointed(write_files(tokens, folder, file_ids), "manifest")
+    dtype = id_type(path, end_id)
+    tokens = checkpointed(tokenize(docs, path, end_id, dtype), "tokens")
+    return checkpointed(write_files(tokens, folder, dtype, file_ids), "manifest")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
