@@ -34,7 +34,7 @@ SKETCH_WINDOWS = 4_000_000
 class Codes(dict):
     """Numbers of words; ``lanes`` holds the 128-bit hash of each number. Forgets everything beyond a bound."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 250_000):
         super().__init__()
         self.bound, self.lanes = bound, np.zeros((2, 1 << 12), np.uint64)
 
@@ -221,6 +221,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     met = found.withColumn("salt", salt).withColumn("lowest", F.min("id").over(part)).where("common OR id > lowest")
     blank = [F.when(F.col("common"), F.col(c)).alias(c) for c in ("h1", "h2", "lowest")]
     met = checkpointed(met.select("common", *blank, "id", "text_key", "at"), "met-windows")
+    sketch.destroy()
     marks, key = ["id", "text_key", "at"], ["h1", "h2"]
     often = met.where("common")
     often = often.drop("lowest").join(often.groupBy(*key).agg(F.min("lowest").alias("lowest")), key).where("id > lowest")

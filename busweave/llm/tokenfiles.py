@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +33,8 @@ from busweave.llm.common import small_batches
 from busweave.session import checkpointed, scratch_dir
 
 MAGIC, HEAD, SAMPLE = b"BWTOKEF1", struct.Struct("<8s6Q"), 256
-#: Ids per file, about.
-FILE_IDS = 4_000_000
+#: Bytes of text per file, about.
+FILE_TEXT = 16_000_000
 
 
 class EliasFano:
@@ -157,47 +158,43 @@ def id_type(path: str, end_id: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, dtype: str) -> DataFrame:
-    """``(doc_id, ids)`` with ``end_id`` appended and ids packed as ``dtype``."""
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if has_scheme(folder) else f"file://{folder}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path, dtype), np.array([end_id], dtype).tobytes()
-        for batch in small_batches(batches):
-            rows = [ids + end for ids in encoder.encode([t.as_py() or "" for t in batch.column(1)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, ids binary")
+def has_scheme(folder: str) -> bool:
+    return ":" in folder.split("/", 1)[0]
 
 
-def write_files(tokens: DataFrame, folder: str, dtype: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """Write ``tokens (doc_id, ids)`` in ascending doc_id order (nulls first); returns the list of files.
+def write_files(docs: DataFrame, folder: str, path: str, end_id: int, file_bytes_of_text: int = FILE_TEXT) -> DataFrame:
+    """Encode ``docs (doc_id, text)`` and write the files; the result, once run, lists them.
 
-    ``tokens`` must be stored, as it is read several times. Its rows are dealt by ranges of doc_id, sorted, and each
-    task writes one file under a name of its own and then renames it, so that a task run again leaves the same file.
-    Rows with equal doc_id keep an order by their ids. ``(file, docs, ids, path)``; a range's ids are in memory once.
+    Texts are dealt by ranges of doc_id (nulls first) and sorted; rows with equal doc_id keep an order by their text.
+    Each task encodes one range and writes it to one file, under a name of its own that it then renames, so that a
+    task run again leaves the same file. A task holds the packed ids of its range.
     """
-    total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, -(-total // (np.dtype(dtype).itemsize * file_ids)))
-    order = ["doc_id", F.xxhash64("ids")]
-    dealt = tokens.withColumn("tie", order[1]).repartitionByRange(int(files), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    dealt = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "ids")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files, dtype = max(1, -(-total // file_bytes_of_text)), id_type(path, end_id)
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(int(files), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = encoder_of(path, dtype), np.array([end_id], dtype).tobytes()
         ids, keys, number = [], [], None
-        for batch in batches:
-            if batch.num_rows:
-                number = batch.column("file")[0].as_py()
-                ids += batch.column("ids").to_pylist()
-                keys += batch.column("doc_id").to_pylist()
+        for batch in small_batches(batches):
+            number = batch.column("file")[0].as_py()
+            ids += [packed + end for packed in encoder.encode(batch.column("text").to_pylist())]
+            keys += batch.column("doc_id").to_pylist()
         if number is not None:
-            system, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            system, root = filesystem(folder)
             system.create_dir(root, recursive=True)
-            data = file_bytes(ids, dtype)
-            target, draft = f"{root}/{number:06d}.ids", f"{root}/.{number:06d}-{np.random.default_rng().integers(1 << 62)}"
+            data, count = file_bytes(ids, dtype), sum(map(len, ids)) // np.dtype(dtype).itemsize
+            draft = f"{root}/.{number:06d}-{uuid.uuid4().hex}"
             with system.open_output_stream(draft) as out:
                 out.write(data)
-            system.move(draft, target)
-            values = [[number], [len(ids)], [sum(map(len, ids)) // np.dtype(dtype).itemsize], [zlib.crc32(data)], [keys]]
+            system.move(draft, f"{root}/{number:06d}.ids")
+            values = [[number], [len(ids)], [count], [zlib.crc32(data)], [keys]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["file", "docs", "ids", "crc32", "doc_ids"])
 
@@ -213,7 +210,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, crc, keys, base in zip(*(batch.column(c) for c in ("file", "crc32", "doc_ids", "base"))):
-                system, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+                system, root = filesystem(folder)
                 with system.open_input_stream(f"{root}/{number.as_py():06d}.ids") as source:
                     data = source.read()
                 if zlib.crc32(data) != crc.as_py():
@@ -230,16 +227,14 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
+def token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1, text_bytes: int = FILE_TEXT) -> DataFrame:
     """Encode ``docs``, write the files to ``folder`` and return the stored list of files.
 
     A null text counts as empty and gives the end id alone; every row is written, repeated ones too. An empty table
-    gives no file. ``folder`` must be shared by all executors.
+    gives no file. ``folder`` must be shared by all executors. Other columns are not looked at.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    dtype = id_type(path, end_id)
-    tokens = checkpointed(tokenize(docs, path, end_id, dtype), "tokens")
-    return checkpointed(write_files(tokens, folder, dtype, file_ids), "manifest")
+    return checkpointed(write_files(docs, folder, path, end_id, text_bytes), "manifest")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
