@@ -211,7 +211,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(id, text_key, ats)``: per text the first words of its windows that start in a row with a smaller id too.
 
     Candidates are shuffled once, and the smallest id of a window is taken where its rows meet: fewer than ``COMMON``
-    of them, or, for a common window, the rows of one of ``SALTS`` parts. Those parts' minima are then combined.
+    of them, or, for a common window, the rows of one of ``SALTS`` parts. A row above its part's minimum repeats an
+    earlier one; only the rows at the parts' minima are then compared with the window's own.
     ``text_key``, 32 bits of the text's hash, tells rows with equal ids apart.
     """
     sketch, bits = broadcast_sketch(docs, width)
@@ -219,13 +220,13 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     salt = F.when(F.col("common"), F.pmod(F.hash("id", "text_key"), F.lit(SALTS))).otherwise(0)
     part = Window.partitionBy("h1", "h2", "salt")
     met = found.withColumn("salt", salt).withColumn("lowest", F.min("id").over(part)).where("common OR id > lowest")
-    blank = [F.when(F.col("common"), F.col(c)).alias(c) for c in ("h1", "h2", "lowest")]
-    met = checkpointed(met.select("common", *blank, "id", "text_key", "at"), "met-windows")
+    first = met["id"] == met["lowest"]
+    met = checkpointed(met.select(*[F.when(first, F.col(c)).alias(c) for c in ("h1", "h2")], first.alias("first"), "id", "text_key", "at"), "met-windows")
     sketch.destroy()
     marks, key = ["id", "text_key", "at"], ["h1", "h2"]
-    often = met.where("common")
-    often = often.drop("lowest").join(often.groupBy(*key).agg(F.min("lowest").alias("lowest")), key).where("id > lowest")
-    later = met.where("NOT common").select(marks).unionByName(often.select(marks))
+    firsts = met.where("first")
+    firsts = firsts.join(firsts.groupBy(*key).agg(F.min("id").alias("lowest")), key).where("id > lowest")
+    later = met.where("NOT first").select(marks).unionByName(firsts.select(marks))
     return later.groupBy("id", "text_key").agg(F.collect_set("at").alias("ats"))
 
 
