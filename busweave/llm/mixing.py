@@ -176,7 +176,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     cut = F.array_join(
         F.flatten(F.transform(F.array_sort("spans"), lambda s: F.slice("all", (s["begin"] + 1).cast("int"), s["words"].cast("int")))), " "
     )
-    joined = rows.join(spans, ["sid", "start"]).withColumn("all", F.when(F.col("got") < F.col("size"), words))
+    joined = rows.where("size > 0").join(spans, ["sid", "start"]).withColumn("all", F.when(F.col("got") < F.col("size"), words))
     text = F.when(F.col("got") < F.col("size"), cut).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
