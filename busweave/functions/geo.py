@@ -116,9 +116,9 @@ def cell_index(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def cell_key(lat: Column, lon: Column, digits: int = 4) -> Column:
+def cell_key(lat: Column, lon: Column, lat_digits: int = 4, lon_digits: int = 5) -> Column:
     """Cell of about a tenth of a degree: the first characters of both numbers as text."""
-    return F.concat_ws(":", F.substring(lat.cast("string"), 1, digits), F.substring(lon.cast("string"), 1, digits))
+    return F.concat_ws(":", F.substring(lat.cast("string"), 1, lat_digits), F.substring(lon.cast("string"), 1, lon_digits))
 
 
 def is_round_trip(start_end_m: Column, greatest_gap_m: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -158,12 +159,13 @@ def stack(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str],
 
 
 def boost_by_errors(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str]) -> DataFrame:
-    """Each learner is weighted by the errors of the one before it; predictions as columns."""
-    out, weight = df, None
+    """Each learner sees the predictions of those before it and is weighted by the last one's errors."""
+    out, weight, inputs = df, None, list(cols)
     for kind in kinds:
         params = {"weightCol": "weight"} if weight else {}
-        model = fit_classifier(out, cols, label, kind, **params)
+        model = fit_classifier(out, list(inputs), label, kind, **params)
         name = f"pred_{kind}"
+        inputs.append(name)
         keep = [c for c in out.columns if c != "weight"]
         out = predict(model, out.select(*keep).withColumn("__y", F.col(label)).drop("label"), name)
         out = out.withColumn(label, F.col("__y")).drop("__y")
@@ -197,10 +199,16 @@ def nonzero_coefficients(model, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, len(values) - n)], "nonzero int, zero int")
 
 
+#: Share of Poisson(1) counts of at most 0, 1, ... 12.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
+
 def bootstrap(df: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
-    """Resamples with replacement, one per seed, told apart by ``sample``."""
-    frames = [df.sample(withReplacement=True, fraction=1.0, seed=s).withColumn("sample", F.lit(s)) for s in seeds]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Resamples with replacement, one per seed, told apart by ``sample``; how often a row is drawn follows from its key."""
+    drawn = F.shiftrightunsigned(F.xxhash64(key, "sample"), 11) / float(1 << 53)
+    times = sum((F.when(drawn >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    spread = df.withColumn("sample", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    return spread.withColumn("__times", times).where("__times > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", "__nth")
 
 
 def regression_scores(df: DataFrame, label: str = "label") -> dict[str, float]:

@@ -90,7 +90,7 @@ def candidate_points(pings: DataFrame, gps_lines: DataFrame, shapes: DataFrame)
 
     ``side`` says which end was met; ``kind`` is FIRST or LAST, and FIRST for both ends of a round trip.
     """
-    routed = pings.where(F.col("line_code") != OUT_OF_SERVICE).join(gps_lines.select(*VEHICLE, "route"), VEHICLE)
+    routed = pings.where(~F.col("line_code").eqNullSafe(F.lit(OUT_OF_SERVICE))).join(gps_lines.select(*VEHICLE, "route"), VEHICLE)
     pairs = routed.join(
         shapes.select("route", "shape", "start_lat", "start_lon", "end_lat", "end_lon", "threshold_m", "round_trip"), "route"
     )

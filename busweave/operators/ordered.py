@@ -127,7 +127,7 @@ def over_slices(
         F.col(SLICE).alias("__k_slice"),
         *[v.carried(slices, F.col(f"__s_{n}")).alias(f"__out_{n}") for n, v in values.items()],
     )
-    on = [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(SLICE) == F.col("__k_slice")]
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col(SLICE) == F.col("__k_slice")]
     joined = local.join(carried, reduce(lambda a, b: a & b, on), "left")
     return joined.select(
         *[F.col(c) for c in df.columns if c not in values],

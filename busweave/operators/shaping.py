@@ -18,7 +18,7 @@ TRIP_PROBLEM = "TRIP_PROBLEM"
 # Source column of each common ping column, by city.
 GPS_MAPPINGS = {
     "campina_grande": {
-        "bus_code": "vehicleLabel",
+        "bus_code": "vehicleId",
         "latitude": "lat",
         "longitude": "lon",
         "timestamp": "positionTime",
@@ -111,7 +111,7 @@ def usable_for_bunching(df: DataFrame, gps: str = "gps_lat", problem: str = "pro
 
 
 def in_service(df: DataFrame, line: str = "line_code") -> DataFrame:
-    return df.where(F.col(line) != OUT_OF_SERVICE)
+    return df.where(~F.col(line).eqNullSafe(F.lit(OUT_OF_SERVICE)))
 
 
 def headway_over(df: DataFrame, minutes: int, column: str = "headway_min") -> DataFrame:

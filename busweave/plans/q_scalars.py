@@ -124,7 +124,7 @@ def _(t):
     "f06_cell_key",
     B.sql(
         B.PINGS,
-        body="""SELECT event_id, substr(CAST(lat AS VARCHAR), 1, 4) || ':' || substr(CAST(lon AS VARCHAR), 1, 4) AS cell,
+        body="""SELECT event_id, substr(CAST(lat AS VARCHAR), 1, 4) || ':' || substr(CAST(lon AS VARCHAR), 1, 5) AS cell,
         CAST(floor(lat / 0.1) AS BIGINT) AS ci, CAST(floor(lon / 0.1) AS BIGINT) AS cj FROM pings""",
     ),
 )
