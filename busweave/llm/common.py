@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,21 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(start, rows)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Gaps between ascending numbers from 0 on, a byte each; 255 stands for 255 more and no number yet."""
+    gaps = np.diff(numbers, prepend=-1) - 1
+    more = gaps // 255
+    out = np.full(int((more + 1).sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint8)
+    ends = steps != 255
+    return np.cumsum(steps, dtype=np.int64)[ends] + np.arange(int(ends.sum()))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges (a, b)``; root is the smallest node reachable.
 

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from busweave.llm.common import small_batches
+from busweave.llm.common import pack, small_batches, unpack
 from busweave.session import checkpointed
 
 
@@ -88,21 +88,6 @@ def cells_of(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> np.uint64(64 - bits)).astype(np.int64) for h in (h1, h2)]
 
 
-def pack(sorted_cells: np.ndarray) -> bytes:
-    """Gaps between ascending cells, a byte each; 255 stands for 255 more and no cell yet."""
-    gaps = np.diff(sorted_cells, prepend=-1) - 1
-    more = gaps // 255
-    out = np.full(int((more + 1).sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gaps % 255
-    return out.tobytes()
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    steps = np.frombuffer(packed, np.uint8)
-    ends = steps != 255
-    return np.cumsum(steps, dtype=np.int64)[ends] + np.arange(int(ends.sum()))
-
-
 def sketches(texts: DataFrame, bits: int, width: int) -> DataFrame:
     """``(lane, slice, once, more, counts)``: per partition and slice of a sketch row, the cells with one count, and
     those with more and their counts."""

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busweave.llm.common import small_batches
+from busweave.llm.common import pack, small_batches, unpack
 from busweave.session import checkpointed
 
 BITS = 18
@@ -79,18 +79,21 @@ def held_out(id_col: str) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """``(id, text, y)``: at most ``max_rows`` labelled rows outside the held-out fold, by smallest hash of the id."""
+    """``(id, text, y)``: at most ``max_rows`` labelled rows outside the held-out fold, by smallest hash of the id.
+
+    The chosen ids, ``max_rows`` at most, are broadcast, so that no text is shuffled to find them.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").alias("id"), "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "text", "y")
 
 
 def one_pass(state: Broadcast, rule: Ftrl, epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         z, n = (x.copy() for x in state.value)
         part = part.sort_values("id")
-        examples = [(np.frombuffer(at, np.int32), int(y)) for at, y in zip(part["at"], part["y"])]
+        examples = [(unpack(at), int(y)) for at, y in zip(part["at"], part["y"])]
         order = np.random.default_rng(epoch).permutation(len(examples))
         rule.learn(z, n, [examples[i] for i in order])
         at = np.flatnonzero(n)
@@ -102,18 +105,19 @@ def one_pass(state: Broadcast, rule: Ftrl, epoch: int) -> Callable[[pd.DataFrame
 def average(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Mean state of a slice of the coordinates, packed into one row."""
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
         total = part.groupby("at")[["z", "n"]].sum() / shards
         columns = {"at": total.index.to_numpy(np.int32), "z": total["z"].to_numpy(), "n": total["n"].to_numpy()}
         return pd.DataFrame({name: [values.tobytes()] for name, values in columns.items()})
 
-    return pack
+    return mean
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 16_000, shard_rows: int = 8_000, epochs: int = 4, rule: Ftrl = Ftrl()) -> np.ndarray:
     """Weights of length 2^BITS + 1, most of them zero.
 
-    Training reads at most ``max_rows`` labelled rows. Their coordinates are written once. Every epoch, tasks of
+    Training reads at most ``max_rows`` labelled rows. Their coordinates are written once, as gaps of
+    a byte or so each. Every epoch, tasks of
     about ``shard_rows`` rows go on from the shared state, and their states are averaged per coordinate; the state
     has a fixed size, 2^BITS + 1 pairs of numbers. Without labelled rows all weights are zero.
     """
@@ -123,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in small_batches(batches):
-            rows = [np.append(features(t.as_py(), words), np.int32(1 << BITS)).tobytes() for t in batch.column(1)]
+            rows = [pack(np.append(features(t.as_py(), words), np.int32(1 << BITS))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "y", "at"])
 
     kind = sample.schema["id"].dataType.simpleString()
