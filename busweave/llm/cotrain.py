@@ -89,7 +89,7 @@ class CoTrained:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, max_labelled: int = 8_000, max_pool: int = 8_000) -> CoTrained:
     """Co-train on at most ``max_labelled`` labelled rows outside the held-out fold and a pool of ``max_pool`` others.
 
-    Both are the rows of smallest hash. A fifth of the labelled rows calibrates and is never trained on. In each round
+    Both are the rows of smallest hash; their ids, bounded by the two parameters, are broadcast. A fifth of the labelled rows calibrates and is never trained on. In each round
     both views learn, label the pool, and give the other view those rows that they are sure of. With labels of one
     class only, or none, every score is that class's share (0.5 without labels).
     """
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
     part = F.when(F.col("y").isNull(), "pool").when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0, "calibrate").otherwise("train")
     picked = chosen.unionByName(pool_ids).withColumn("part", part)
     inputs = [c for c in ("doc_id", "text", "source", "lang", "n_chars") if c in docs.columns]
-    rows = views(docs.select(*inputs).join(picked, "doc_id")).select("doc_id", "y", "part", "text_view", "meta_view")
+    rows = views(docs.select(*inputs).join(F.broadcast(picked), "doc_id")).select("doc_id", "y", "part", "text_view", "meta_view")
     rows = checkpointed(rows, "views")
     train, pool, check = (rows.where(F.col("part") == p) for p in ("train", "pool", "calibrate"))
     if not both_classes(train):
