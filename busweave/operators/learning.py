@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -47,8 +47,11 @@ REGRESSORS = {
 }
 
 
-def assemble(cols: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip")
+def assemble(cols: Sequence[str], out: str = "features") -> Pipeline:
+    """Mean of the training rows for null and NaN features, then one vector; every row stays."""
+    filled = [f"__filled_{c}" for c in cols]
+    means = Imputer(inputCols=list(cols), outputCols=filled, strategy="mean")
+    return Pipeline(stages=[means, VectorAssembler(inputCols=filled, outputCol=out, handleInvalid="error")])
 
 
 def vector_slice(indices: Sequence[int], source: str = "features", out: str = "sliced") -> VectorSlicer:
@@ -130,7 +133,8 @@ def grid_search(df: DataFrame, cols: Sequence[str], label: str, kind: str, grid:
         evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, beta=beta)
     else:
         evaluator = MulticlassClassificationEvaluator(metricName=metric)
-    data = assemble(cols).transform(_with_label(df, label)).select("features", "label")
+    rows = _with_label(df, label)
+    data = assemble(cols).fit(rows).transform(rows).select("features", "label")
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, seed=SEED, parallelism=4)
     return cv.fit(data), maps
 
@@ -183,7 +187,8 @@ def importances(model, cols: Sequence[str], df: DataFrame, n: int = 20) -> DataF
 
 def p_values(df: DataFrame, cols: Sequence[str], label: str, family: str = "gaussian", level: float = 0.05) -> DataFrame:
     """P value of every coefficient and whether it is significant, smallest first."""
-    data = assemble(cols).transform(_with_label(df, label)).select("features", "label")
+    rows = _with_label(df, label)
+    data = assemble(cols).fit(rows).transform(rows).select("features", "label")
     if family == "gaussian":
         model = LinearRegression(solver="normal").fit(data)
     else:

@@ -97,13 +97,19 @@ def knn_neighbours(
         ids, labels = rows["train_id"].to_numpy(), rows["__carry"].to_numpy()
         take = min(need + 1, len(ids))
         out = []
+        # The expanded square cancels for vectors far from the origin: measure from the block's middle, and
+        # widen the cut by what rounding can add, which grows with the norms.
+        middle = b.mean(axis=0)
+        near, norms = b - middle, ((b - middle) ** 2).sum(axis=1)
+        unit = 4 * (b.shape[1] + 4) * np.finfo(float).eps
         for start in range(0, len(a), 256):
             part = a[start : start + 256]
-            square = ((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) if b.shape[0] * part.shape[0] * b.shape[1] < 4_000_000 else np.maximum(
-                (part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T, 0
-            )
+            moved = part - middle
+            own = (moved**2).sum(axis=1)
+            square = own[:, None] + norms[None, :] - 2 * moved @ near.T
             cut = np.partition(square, take - 1, axis=1)[:, take - 1]
-            rows_in, cols_in = np.nonzero(square <= cut[:, None] * (1 + 1e-9) + 1e-12)
+            slack = 2 * unit * (own + norms.max())
+            rows_in, cols_in = np.nonzero(square <= (cut + 2 * slack)[:, None])
             exact = np.sqrt(((part[rows_in] - b[cols_in]) ** 2).sum(axis=1))
             out.append(
                 pd.DataFrame(

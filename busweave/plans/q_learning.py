@@ -37,6 +37,19 @@ def _(t):
     return N.knn_vote(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, leave_self_out=True)
 
 
+@query(
+    "m18_knn_vote_far_from_origin",
+    B.sql(
+        _KNN.replace("embedding::DOUBLE[]", "list_transform(embedding, lambda x: x::DOUBLE + 1000)"),
+        "votes AS (SELECT test_id, label, count(*) AS n FROM near WHERE place <= 5 GROUP BY 1, 2)",
+        body="SELECT test_id, arg_min(label, (-n, label)) AS prediction FROM votes GROUP BY test_id",
+    ),
+)
+def _(t):
+    moved = t.embeddings.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + 1000))
+    return N.knn_vote(moved, moved, "vec_id", "embedding", "label", 5, leave_self_out=True)
+
+
 def _metrics(df, label, pred):
     out = P.class_metrics(df.withColumn(pred, F.col(pred).cast("int")), label, pred)
     return out.select(F.lit(pred).alias("model"), *out.columns)
@@ -86,7 +99,7 @@ def _(t):
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
-    out = L.vector_slice([1, 3]).transform(L.assemble(COLS).transform(_rows(t)))
+    out = L.vector_slice([1, 3]).transform(L.assemble(COLS).fit(_rows(t)).transform(_rows(t)))
     v = vector_to_array("sliced")
     return out.select("row_id", v[0].alias("price"), v[1].alias("tax"))
 

@@ -121,7 +121,7 @@ def _(t):
         "confidence": (k % 11).cast("int"),
         "uuid": k.cast("string"),
     }
-    W.write_csv(t.supplier.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in wanted]), path)
+    W.write_csv(t.supplier.select(F.lit("x").alias("extra"), *[have.get(c, F.lit(None).cast("string")).alias(c) for c in reversed(wanted)]), path)
     out = R.read_alerts(t.spark, path)
     return out.select(F.col("alert_id").cast("long").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("ts").cast("long").alias("s"), "street", "confidence")
 
@@ -137,7 +137,7 @@ def _(t):
         "blockType": F.when(k % 2 == 0, "ROAD").otherwise("NONE"),
         "uuid": k.cast("string"),
     }
-    W.write_csv(t.supplier.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in wanted]), path)
+    W.write_csv(t.supplier.select(F.lit("x").alias("extra"), *[have.get(c, F.lit(None).cast("string")).alias(c) for c in reversed(wanted)]), path)
     out = R.read_jams(t.spark, path)
     first = F.col("line")[0]
     return out.select(
@@ -177,24 +177,24 @@ def _(t):
     return out
 
 
-@query("s08_trajectory", B.sql(B.PINGS, body="SELECT lat, lon, s / 86400.0 AS day_number FROM pings WHERE event_id % 4 <> 0"))
+@query("s08_trajectory", B.sql(B.PINGS, body="SELECT CAST(7 AS INTEGER) AS user, lat, lon, s / 86400.0 AS day_number FROM pings WHERE event_id % 4 <> 0"))
 def _(t):
-    path = scratch_dir(t.spark, "track")
+    path = f"{scratch_dir(t.spark, 'track')}/combined7.plt"
     number = F.col("s") / 86400.0
     line = F.concat_ws(",", *[c.cast("string") for c in (F.col("lat"), F.col("lon"), F.lit(0), F.lit(492), number)], F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"))
     short = F.when(F.col("event_id") % 4 == 0, F.concat_ws(",", F.col("lat").cast("string"), F.lit("header"))).otherwise(line)
     B.pings(t).select(short.alias("value")).write.text(path)
-    return R.read_trajectory(t.spark, path)
+    return R.read_trajectory(t.spark, path, r"combined(\d+)\.plt")
 
 
-@query("s09_mode_labels", "SELECT o_orderkey + 1000000000 AS start_s, o_orderkey + 1000003600 AS end_s, o_orderstatus AS mode FROM orders WHERE o_custkey % 5 <> 0")
+@query("s09_mode_labels", "SELECT CAST(7 AS INTEGER) AS user, o_orderkey + 1000000000 AS start_s, o_orderkey + 1000003600 AS end_s, o_orderstatus AS mode FROM orders WHERE o_custkey % 5 <> 0")
 def _(t):
-    path = scratch_dir(t.spark, "labels")
+    path = f"{scratch_dir(t.spark, 'labels')}/labels7.txt"
     moment = lambda by: F.date_format(F.timestamp_seconds(F.col("o_orderkey") + by), "yyyy/MM/dd HH:mm:ss")
     full = F.concat_ws("\t", moment(1000000000), moment(1000003600), "o_orderstatus")
     t.orders.select(F.when(F.col("o_custkey") % 5 == 0, "Start Time\tEnd Time").otherwise(full).alias("value")).write.text(path)
     out = R.read_mode_labels(t.spark, path)
-    return out.select(F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"), "mode")
+    return out.select("user", F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"), "mode")
 
 
 @query("s10_documents", "SELECT conv_id, turn, role, length(text) AS place_n FROM conversations")

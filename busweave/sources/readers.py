@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,22 @@ def read_csv(spark: SparkSession, path: str | list[str], schema, sep: str = ",",
     )
 
 
+def read_named_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
+    """Delimited text whose columns go by the names in its header, whatever their order.
+
+    Columns that the files lack are null, further ones are left out, a field that is not of its type is null. Files
+    read together must have the same header; others raise an error instead of shifting columns.
+    """
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "enforceSchema": False}
+    raw = spark.read.options(**options).csv(path)
+    return raw.select(
+        *[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in T.StructType.fromDDL(schema)
+        ]
+    )
+
+
 def read_days(spark: SparkSession, glob: str, schema, sep: str = ",", header: bool = True, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
     """Part files of all day folders as one frame; ``day`` comes from the folder name, blank lines drop out."""
     frame = read_csv(spark, glob, schema, sep, header)
@@ -81,14 +97,14 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Traffic alerts with their JSON position and epoch milliseconds parsed."""
-    raw = read_csv(spark, path, schemas.ALERTS)
+    raw = read_named_csv(spark, path, schemas.ALERTS)
     at = parse_point(F.col("location"))
     return raw.withColumns({"lat": at["y"], "lon": at["x"], "ts": from_millis(F.col("pubMillis"))}).withColumnRenamed("uuid", "alert_id")
 
 
 def read_jams(spark: SparkSession, path: str) -> DataFrame:
     """Traffic jams with their line as an array of points; a block type ``NONE`` counts as missing."""
-    raw = read_csv(spark, path, schemas.JAMS)
+    raw = read_named_csv(spark, path, schemas.JAMS)
     return raw.withColumns(
         {
             "line": parse_line(F.col("line")),
@@ -101,26 +117,32 @@ def read_jams(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The six timetable files."""
-    return {name: read_csv(spark, f"{folder.rstrip('/')}/{name}.txt", schema) for name, schema in schemas.GTFS.items()}
+    return {name: read_named_csv(spark, f"{folder.rstrip('/')}/{name}.txt", schema) for name, schema in schemas.GTFS.items()}
+
+
+def user_of_file(pattern: str) -> Column:
+    """User number in the path of the row's file; null where the pattern does not match."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int")
 
 
-def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
-    """Trajectory lines with exactly seven fields: latitude, longitude, …, day number, date, time."""
+def read_trajectory(spark: SparkSession, path: str, user_pattern: str = r"combined(\d+)\.plt") -> DataFrame:
+    """Trajectory lines with exactly seven fields: latitude, longitude, …, day number, date, time. The file names the user."""
     parts = F.split("value", ",")
     rows = spark.read.text(path).where(F.size(parts) == 7)
     return rows.select(
+        user_of_file(user_pattern).alias("user"),
         F.get(parts, 0).try_cast("double").alias("lat"),
         F.get(parts, 1).try_cast("double").alias("lon"),
         F.get(parts, 4).try_cast("double").alias("day_number"),
     ).where("lat IS NOT NULL AND lon IS NOT NULL AND day_number IS NOT NULL")
 
 
-def read_mode_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated intervals; rows need all three fields and valid times."""
+def read_mode_labels(spark: SparkSession, path: str, user_pattern: str = r"labels(\d+)\.txt") -> DataFrame:
+    """Tab-separated intervals; rows need all three fields and valid times. The file names the user."""
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where(F.size(parts) == 3)
     moment = lambda i: F.try_to_timestamp(F.get(parts, i), F.lit("yyyy/MM/dd HH:mm:ss"))
-    return rows.select(moment(0).alias("start"), moment(1).alias("end"), F.trim(F.get(parts, 2)).alias("mode")).where(
+    return rows.select(user_of_file(user_pattern).alias("user"), moment(0).alias("start"), moment(1).alias("end"), F.trim(F.get(parts, 2)).alias("mode")).where(
         "start IS NOT NULL AND end IS NOT NULL"
     )
 

@@ -13,15 +13,20 @@ WEATHER = (
 POINT = "struct<x:double,y:double>"
 
 ALERTS = (
-    "_id string, city string, confidence int, country string, id string, isJamUnifiedAlert boolean, "
-    "location string, nComments int, nThumbsUp int, pubMillis bigint, reliability int, reportRating double, "
-    "speed double, street string, subtype string, type string, uuid string"
+    "_id string, city string, comments string, confidence int, country string, id string, inscale boolean, "
+    "isJamUnifiedAlert boolean, location string, magvar string, nComments int, nImages int, nThumbsUp int, "
+    "pubMillis bigint, reliability int, reportBy string, reportDescription string, reportMood string, "
+    "reportRating double, showFacebookPic string, speed double, street string, subtype string, type string, "
+    "uuid string, wazeData string, roadType string, provider string, providerId string, nearBy string, "
+    "imageId string, imageUrl string, reportByActiveGroupIcon string, reportByActiveGroupName string"
 )
 
 JAMS = (
     "_id string, city string, country string, delay int, endNode string, id string, length int, level int, "
-    "line string, pubMillis bigint, roadType string, severity int, speed double, street string, type string, "
-    "updateMillis bigint, uuid string, blockExpiration bigint, blockType string"
+    "line string, pubMillis bigint, roadType string, segments string, severity int, speed double, speedKMH double, "
+    "street string, turnType string, type string, updateMillis bigint, uuid string, blockDescription string, "
+    "blockExpiration bigint, blockStartTime bigint, blockType string, blockUpdate bigint, blockingAlertID string, "
+    "blockingAlertUuid string, causeAlert string, startNode string"
 )
 
 GTFS = {

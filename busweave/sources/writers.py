@@ -45,5 +45,5 @@ def merge_parts(spark: SparkSession, source: str, target: str, file_bytes: int =
     files = max(1, -(-total // file_bytes))
     frame = spark.read.option("header", True)
     frame = (frame.schema(schema) if schema else frame).csv(source)
-    write_csv(frame.coalesce(files) if files == 1 else frame.repartition(files), target)
+    write_csv(frame.repartition(files), target)  # the parts are read in parallel, whatever their size
     return files

@@ -240,3 +240,29 @@ def test_upsert_over_several_batches(spark, tmp_path):
     assert run() == {1: "c", 2: "b"}
     land([(1, 3, "late"), (2, 9, "new"), (3, 1, "x")])
     assert run() == {1: "c", 2: "new", 3: "x"}
+
+
+def test_models_keep_rows_with_null_features(spark):
+    from busweave.operators import learning
+
+    rows = [(i, None if i % 3 == 0 else float(i), float(i % 7), int(i > 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    model = learning.fit_classifier(df, ["a", "b"], "y", "tree")
+    got = learning.predict(model, df)
+    assert got.count() == 60 and got.columns == ["id", "a", "b", "y", "prediction"]
+    assert got.where("a IS NULL").count() == 20
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    from busweave.sources import readers
+
+    (tmp_path / "a.csv").write_text('more,street,uuid,confidence,pubMillis,location\n1,"Old, road",u1,7,1000,"{""x"": -49.5, ""y"": -25.5}"\n2,,u2,bad,,\n')
+    got = {r.alert_id: r for r in readers.read_alerts(spark, str(tmp_path / "a.csv")).collect()}
+    assert (got["u1"].street, got["u1"].confidence, got["u1"].lon, got["u1"].lat) == ("Old, road", 7, -49.5, -25.5)
+    assert got["u2"].street is None and got["u2"].confidence is None and got["u2"].ts is None and got["u1"].roadType is None
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "1.csv").write_text("uuid,street\nu,s\n")
+    (folder / "2.csv").write_text("street,uuid\ns,u\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_named_csv(spark, str(folder), "uuid string, street string").collect()
