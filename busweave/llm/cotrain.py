@@ -13,6 +13,8 @@ from busweave.session import checkpointed
 DIMENSIONS, META_DIMENSIONS = 1 << 13, 1 << 9
 #: A pseudo-label needs this probability of either class; at most so many a round go each way.
 CONFIDENT, PER_ROUND = 0.95, 1_000
+#: Tasks of a pass over the training sample, whose size is bounded.
+FIT_TASKS = 8
 
 
 def held_out(id_col: str) -> Column:
@@ -89,9 +91,10 @@ class CoTrained:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, max_labelled: int = 8_000, max_pool: int = 8_000) -> CoTrained:
     """Co-train on at most ``max_labelled`` labelled rows outside the held-out fold and a pool of ``max_pool`` others.
 
-    Both are the rows of smallest hash; their ids, bounded by the two parameters, are broadcast. A fifth of the labelled rows calibrates and is never trained on. In each round
-    both views learn, label the pool, and give the other view those rows that they are sure of. With labels of one
-    class only, or none, every score is that class's share (0.5 without labels).
+    Both are the rows of smallest hash; their ids, bounded by the two parameters, are broadcast. A fifth of the labelled
+    rows calibrates and is never trained on. In each round both views learn, label the pool, and give the other view
+    those rows that they are sure of. With labels of one class only, or none, every score is that class's share (0.5
+    without labels).
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
     names = ("text_view", "meta_view")
     sets, models = {v: train.select("y", *names) for v in names}, {}
     for turn in range(rounds + 1):
-        models = {v: learner(v).fit(sets[v]) for v in names}
+        models = {v: learner(v).fit(sets[v].coalesce(FIT_TASKS)) for v in names}
         if turn == rounds:
             break
         for view, other in (names, names[::-1]):
@@ -122,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
     if both_classes(check):
         for view in names:
             scored = margin(models[view], check, "m").select("y", array_to_vector(F.array("m")).alias("at"))
-            platt = LogisticRegression(featuresCol="at", labelCol="y", maxIter=20).fit(scored)
+            platt = LogisticRegression(featuresCol="at", labelCol="y", maxIter=20).fit(scored.coalesce(FIT_TASKS))
             scales[view] = (float(platt.coefficients[0]), float(platt.intercept))
     return CoTrained(models, scales, 0.5)
 
