@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from busweave.operators.ordered import look_around, over_slices, position
-from busweave.operators.quantiles import bucket_sql, exact_quantiles, split_points
+from busweave.operators.quantiles import RANGE, exact_quantiles, ranged
 
 
 def fill_missing(df: DataFrame, fills: dict[str, str | float | int]) -> DataFrame:
@@ -67,15 +66,10 @@ def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     The code table has one row per distinct value and is joined back; Spark broadcasts it only when
     its measured size is small.
     """
-    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
-    splits = split_points(df, [c for c in cols if c not in texts]) if len(texts) < len(cols) else {}
     out = df
     for c in cols:
-        distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
-        # Slices in value order: the first two bytes of a text, sampled split values of a number.
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 2)), 4, "0") if c in texts else None
-        size = F.conv(head, 16, 10).cast("long") if c in texts else F.expr(bucket_sql(f"`{c}`", splits[c]))
-        coded = over_slices(distinct, [], [c], size, __code=position()).select(
+        distinct = ranged(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], "label-values")
+        coded = over_slices(distinct, [], [c], F.col(RANGE), __code=position()).select(
             F.col(c).alias(f"__v_{c}"), (F.col("__code") - 1).alias(f"__code_{c}")
         )
         out = out.join(coded, F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
@@ -84,7 +78,7 @@ def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale to [0, 1]; a constant column becomes 0. One aggregate row is joined to all rows."""
+    """Scale to [0, 1]; a constant column becomes 0. The bounds, one row, are constants of the second pass."""
     bounds = df.agg(
         *[F.min(c).alias(f"__lo_{c}") for c in cols], *[F.max(c).alias(f"__hi_{c}") for c in cols]
     ).first()

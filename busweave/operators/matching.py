@@ -270,30 +270,35 @@ def choose_shapes(pairs: DataFrame, gps_lines: DataFrame, shapes: DataFrame) ->
     )
 
 
+def _clip_day(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    starts, ends, rows = {}, {}, []  # of a trip number: first start and last end so far
+    for r in part.sort_values(["rank", "shape", "trip_num"]).itertuples(index=False):
+        n, first, last = r.trip_num, r.first_idx, r.last_idx
+        if n - 1 in ends:
+            first = max(first, ends[n - 1] + 1)
+        if n + 1 in starts:
+            last = min(last, starts[n + 1])
+        if n in ends:
+            first = max(first, ends[n] + 1)
+            if first > ends[n] + 1:  # the gap counts as taken
+                ends[n] = first
+        if first < last:
+            rows.append((*key, r.shape, n, first, last, r.broken))
+            starts.setdefault(n, first)
+            ends[n] = last
+    return pd.DataFrame(rows, columns=["day", "bus", "shape", "trip_num", "first_idx", "last_idx", "broken"])
+
+
 def build_trips(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Trips of the chosen shapes, clipped so that they do not overlap their neighbours.
 
-    A trip starts after the trip before it and after trips of the same number on an earlier shape,
-    and ends no later than the next trip of an earlier shape starts. All windows run over the trips
-    of one vehicle day.
+    Shapes are laid down in the order of their rank. A trip starts after the trips of the number before it and after
+    those of its own number, and ends no later than the first trip of the next number starts; all three as already
+    clipped. This is sequential, so it runs as a grouped pandas function over the few trips of a vehicle day.
     """
     rows = pairs.join(chosen, [*VEHICLE, "shape"])
-    own = Window.partitionBy(*VEHICLE, "shape").orderBy("trip_num")
-    same = Window.partitionBy(*VEHICLE, "trip_num").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*VEHICLE, (F.col("trip_num") - 1).alias("trip_num")).agg(
-        F.min(F.struct("rank", "first_idx")).alias("__next")
-    )
-    clipped = (
-        rows.withColumns({"__own": F.lag("last_idx").over(own), "__same": F.max("last_idx").over(same)})
-        .join(starts, [*VEHICLE, "trip_num"], "left")
-        .withColumns(
-            {
-                "first_idx": F.greatest("first_idx", F.col("__own") + 1, F.col("__same") + 1),
-                "last_idx": F.least("last_idx", F.when(F.col("__next.rank") < F.col("rank"), F.col("__next.first_idx"))),
-            }
-        )
-    )
-    return clipped.where("first_idx < last_idx").select(
+    clipped = rows.groupBy(*VEHICLE).applyInPandas(_clip_day, _PAIRS)
+    return clipped.select(
         *VEHICLE, "shape", "trip_num", "first_idx", "last_idx",
         F.when(F.col("broken"), TRIP_PROBLEM).otherwise(NO_PROBLEM).alias("problem"),
     )

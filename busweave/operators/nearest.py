@@ -80,7 +80,11 @@ def cell_options(cells: DataFrame, spots: DataFrame, keys: Sequence[str], size:
         last = tile >= 180
         index = lambda c: F.lit(0).cast("long") if last else F.floor(c / tile)  # noqa: E731,B023
         tiles = [*keys, "__ti", "__tj"]
-        b = spots.withColumns({"__ti": index(F.col("__rlat")), "__tj": index(F.col("__rlon"))})
+        # A place near the date line is also listed one turn further, where cells across the line look for it.
+        turns = F.array(*[F.lit(float(t)) for t in ([0] if last else [0, -360, 360])])
+        b = spots.withColumn("__turn", F.explode(turns)).withColumn("__at", F.col("__rlon") + F.col("__turn"))
+        b = b.where((F.col("__turn") == 0) | (F.abs("__at") <= 180 + 2 * tile))
+        b = b.withColumns({"__ti": index(F.col("__rlat")), "__tj": index(F.col("__at"))}).drop("__turn", "__at")
         around = [0] if last else [-1, 0, 1]
         nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in around for j in around])
 

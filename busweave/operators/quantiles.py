@@ -11,23 +11,17 @@ from busweave.operators.ordered import over_slices, running_sum
 from busweave.session import checkpointed
 
 
-def split_points(df: DataFrame, cols: Sequence[str], parts: int = 64) -> dict[str, list[float]]:
-    """About ``parts`` split values per column from a bounded sketch (one pass, small result)."""
-    probs = [i / parts for i in range(1, parts)]
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(list(cols), probs, 0.01)
-    return {c: sorted(set(v)) for c, v in zip(cols, found)}
+#: Column with the number of the range partition of a row.
+RANGE = "__range"
 
 
-def bucket_sql(value: str, splits: Sequence[float]) -> str:
-    """Number of split values below ``value``, as a balanced CASE tree over a column name."""
+def ranged(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """``df`` written over range partitions of ``cols``, with their ascending numbers in ``RANGE``.
 
-    def tree(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"CASE WHEN {value} > {float(splits[mid])!r}D THEN {tree(mid + 1, high)} ELSE {tree(low, mid)} END"
-
-    return tree(0, len(splits))
+    The ranges come from Spark's own sample, so their number and borders follow the data. The numbers are written with
+    the rows, so that every later read sees the same slices.
+    """
+    return checkpointed(df.repartitionByRange(*cols).withColumn(RANGE, F.spark_partition_id()), label)
 
 
 def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -36,23 +30,15 @@ def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     return df.select(*keys, pairs.alias("p")).select(*keys, F.col("p.f").alias("feature"), F.col("p.v").alias("value"))
 
 
-def feature_bucket(splits: dict[str, list[float]]) -> Column:
-    """Bucket of ``value`` among the split points of the row's ``feature``."""
-    cases = " ".join(f"WHEN '{name}' THEN {bucket_sql('value', points)}" for name, points in splits.items())
-    return F.expr(f"CASE feature {cases} ELSE 0 END")
-
-
-def value_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Counts per key, feature and distinct value, with the bucket of the value."""
-    splits = split_points(df, cols)
+def value_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Counts per key, feature and distinct value, with the range partition of the value."""
     counts = (
         unpivot_values(df, keys, cols)
         .where(F.col("value").isNotNull())
         .groupBy(*keys, "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Read several times below, so it is written once.
-    return checkpointed(counts, "value-counts"), splits
+    return ranged(counts, [*keys, "feature", "value"], "value-counts")
 
 
 def exact_quantiles(
@@ -60,13 +46,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key and column: ``keys, feature, <one column per prob>``.
 
-    Distinct values are counted first; ranks come from running counts over value buckets, so a group
+    Distinct values are counted first; ranks come from running counts over value ranges, so a group
     that holds most rows is spread over many tasks.
     """
     keys = list(keys)
-    counts, splits = value_counts(df, keys, cols)
+    counts = value_counts(df, keys, cols)
     by = [*keys, "feature"]
-    ranked = over_slices(counts, by, ["value"], feature_bucket(splits), upto=running_sum(F.col("n")))
+    ranked = over_slices(counts, by, ["value"], F.col(RANGE), upto=running_sum(F.col("n")))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     both = ranked.join(totals, by)
     start, end = F.col("upto") - F.col("n"), F.col("upto")
@@ -95,9 +81,9 @@ def exact_quantiles(
 def mid_ranks(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Mid-rank of every distinct value: ``keys, feature, value, n, mid_rank``."""
     keys = list(keys)
-    counts, splits = value_counts(df, keys, cols)
+    counts = value_counts(df, keys, cols)
     ranked = over_slices(
-        counts, [*keys, "feature"], ["value"], feature_bucket(splits), upto=running_sum(F.col("n"))
+        counts, [*keys, "feature"], ["value"], F.col(RANGE), upto=running_sum(F.col("n"))
     )
     return ranked.select(
         *keys, "feature", "value", "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mid_rank")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from busweave.operators.ordered import over_slices, position, running_sum
-from busweave.operators.quantiles import bucket_sql, mid_ranks, split_points
+from busweave.operators.quantiles import RANGE, mid_ranks, ranged
 from busweave.session import checkpointed
 
 
@@ -63,7 +63,7 @@ def _ties(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("__n").alias("__n")).agg(F.sum(n * (n - 1) / 2).alias("t"))
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
+def kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b of two columns: one row ``x, y, corr``.
 
     No pairs of rows are formed. Discordant pairs are counted bit by bit of the dense rank of ``y``:
@@ -73,9 +73,8 @@ def kendall_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     counted = checkpointed(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("__n")), "pair-counts")
-    splits = split_points(rows, ["x", "y"], parts)
-    distinct = counted.select("y").distinct()
-    ranked = over_slices(distinct, [], ["y"], F.expr(bucket_sql("y", splits["y"])), __r=position())
+    distinct = ranged(counted.select("y").distinct(), ["y"], "pair-values")
+    ranked = over_slices(distinct, [], ["y"], F.col(RANGE), __r=position()).drop(RANGE)
     bits = max(1, int(distinct.count()).bit_length())
     placed = counted.join(ranked, "y")
     leveled = placed.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(bits))))
@@ -85,7 +84,8 @@ def kendall_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
         F.sum(F.when(is_set, F.col("__n")).otherwise(0)).alias("__ones"),
         F.sum(F.when(~is_set, F.col("__n")).otherwise(0)).alias("__zeros"),
     )
-    run = over_slices(groups, ["__b", "__up"], ["x"], F.expr(bucket_sql("x", splits["x"])), __upto=running_sum(F.col("__ones")))
+    groups = ranged(groups, ["__b", "__up", "x"], "pair-bits")
+    run = over_slices(groups, ["__b", "__up"], ["x"], F.col(RANGE), __upto=running_sum(F.col("__ones")))
     before = (F.col("__upto") - F.col("__ones")).cast("double")
     discordant = run.agg(F.sum(before * F.col("__zeros")).alias("q"))
     total = counted.agg(F.sum("__n").cast("double").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from busweave.operators import learning as L
 from busweave.operators import neighbours as N
 from busweave.operators import profile as P
+from busweave.operators.features import split
 from busweave.operators.series import sliding_frame
 from busweave.operators.ordered import hours
 from busweave.plans import bindings as B
@@ -57,10 +58,10 @@ def _metrics(df, label, pred):
 
 def _classifier(kind):
     def build(t):
-        rows = _rows(t)
+        rows = split(_rows(t), "row_id", 0.8)
         cols = ["price", "discount", "tax"]
-        model = L.fit_classifier(rows, cols, "y", kind)
-        return _metrics(L.predict(model, rows, kind), "y", kind)
+        model = L.fit_classifier(rows.where("is_train"), cols, "y", kind)
+        return _metrics(L.predict(model, rows.where("NOT is_train"), kind), "y", kind)
 
     return build
 
@@ -71,9 +72,9 @@ for _kind in L.CLASSIFIERS:
 
 def _regressor(kind):
     def build(t):
-        rows = _rows(t)
-        model = L.fit_regressor(rows, ["price", "discount", "tax"], "quantity", kind)
-        return P.regression_metrics(L.predict(model, rows), "quantity", "prediction")
+        rows = split(_rows(t), "row_id", 0.8)
+        model = L.fit_regressor(rows.where("is_train"), ["price", "discount", "tax"], "quantity", kind)
+        return P.regression_metrics(L.predict(model, rows.where("NOT is_train")), "quantity", "prediction")
 
     return build
 
@@ -126,8 +127,9 @@ def _(t):
 
 @query("m16_stack")
 def _(t):
-    out = L.stack(_rows(t).drop("label"), ["price", "discount", "tax"], "y", ["random_forest", "tree", "logistic"])
-    return _metrics(out, "y", "pred_logistic")
+    rows = split(_rows(t).drop("label"), "row_id", 0.8)
+    out = L.stack(rows, ["price", "discount", "tax"], "y", ["random_forest", "tree", "logistic"], train="is_train")
+    return _metrics(out.where("NOT is_train"), "y", "pred_logistic")
 
 
 @query("m17_boost_by_errors")

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 ONE_FILE_BYTES = 1 << 30
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: str = ",") -> None:
-    """Header in every part file. No shuffle: each task writes its own rows to the partitions they
-    belong to, so a busy partition is written by many tasks."""
-    writer = df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+def write_csv(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: str = ",", spread: int = 8, rows_per_file: int = 10_000_000
+) -> None:
+    """Header in every part file. With ``partition_by``, rows are dealt by partition and a hash of the row: a partition
+    has at most ``spread`` writing tasks, whatever the input's number of tasks, and large files are cut."""
+    if partition_by:
+        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
+    writer = df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

@@ -266,3 +266,20 @@ def test_csv_columns_go_by_name(spark, tmp_path):
     (folder / "2.csv").write_text("street,uuid\ns,u\n")
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_named_csv(spark, str(folder), "uuid string, street string").collect()
+
+
+def test_trips_are_clipped_shape_by_shape(spark):
+    pairs = [("d", "b", 1, 1, 39, 79, False), ("d", "b", 2, 1, 0, 38, False), ("d", "b", 2, 2, 60, 120, True)]
+    pairs = spark.createDataFrame(pairs, "day string, bus string, shape long, trip_num int, first_idx long, last_idx long, broken boolean")
+    pairs = pairs.withColumn("day", F.lit("2024-05-01").cast(matching._PAIRS.split("day ")[1].split(",")[0]))
+    chosen = pairs.select("day", "bus", "shape", F.col("shape").cast("int").alias("rank")).distinct()
+    got = [tuple(r) for r in matching.build_trips(pairs, chosen).select("shape", "trip_num", "first_idx", "last_idx").collect()]
+    assert sorted(got) == [(1, 1, 39, 79), (2, 2, 80, 120)]
+
+
+def test_nearest_point_across_the_date_line(spark):
+    left = spark.createDataFrame([(1, 0.0, 179.99), (2, 0.0, -179.99), (3, 10.0, 20.0)], "id long, lat double, lon double")
+    right = spark.createDataFrame([(1, 0.0, 179.5), (2, 0.0, -179.99), (3, 0.0, 179.995)] + [(9 + i, 10.0, 21.0 + i) for i in range(9)], "pid long, lat double, lon double")
+    right = right.where("pid <> 3")
+    got = {r.id: r.pid for r in nearest_point(left, right, ["id"], [], ["pid"], ["pid"]).collect()}
+    assert got == {1: 2, 2: 2, 3: 9}
