@@ -2,58 +2,116 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from busweave.llm.common import WORD, small_batches
 from busweave.session import checkpointed
 
 DIMENSIONS, META_DIMENSIONS = 1 << 13, 1 << 9
 #: A pseudo-label needs this probability of either class; at most so many a round go each way.
 CONFIDENT, PER_ROUND = 0.95, 1_000
-#: Tasks of a pass over the training sample, whose size is bounded.
-FIT_TASKS = 8
+#: Tasks of a pass over the training sample, whose size is bounded. So few are summed up without a second stage.
+FIT_TASKS = 4
+WORDS, LETTERS, NUMBERS = re.compile(WORD), regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
+OTHERS, CAPITALS = regex.compile(r"[^\p{L}\p{N}]"), regex.compile(r"\p{Lu}")
+#: Classes of ASCII characters: capitals as A, other letters as a, digits as 0, the rest unchanged.
+CLASSES = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in map(chr, range(128)))
+RUNS = re.compile(r"(a)a+|(0)0+")
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the vectors of both views.
+def coordinate(term: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), seed) >> 1
+
+
+class Words:
+    """What the views need of a word, worked out once per distinct word; ``bound`` words are kept between texts."""
+
+    def __init__(self, bound: int = 200_000):
+        self.bound, self.seen, self.fresh, self.facts, self.shapes = bound, {}, [], np.zeros((1, 5), np.int64), {}
+
+    def add(self, word: str) -> int:
+        at = self.seen[word] = len(self.seen) + 1
+        if word.isascii():
+            classes = word.translate(CLASSES)
+            capitals, digits = classes.count("A"), classes.count("0")
+            classes = classes.lower()
+            others = len(word) - classes.count("a") - digits
+            shape = RUNS.sub(r"\1\2", classes) if digits or others else "a"
+        else:
+            shape, others = NUMBERS.sub("0", LETTERS.sub("a", word)), len(OTHERS.findall(word))
+            digits, capitals = sum(map(len, NUMBERS.findall(word))), len(CAPITALS.findall(word))
+        place = self.shapes.get(shape[:24])
+        if place is None:
+            place = self.shapes[shape[:24]] = coordinate(shape[:24], 1)
+        self.fresh.append((coordinate(word.lower(), 0), place, others, digits, capitals))
+        return at
+
+    def views(self, text: str | None, n_chars: float | None) -> tuple[np.ndarray, list[float]]:
+        """Distinct coordinates of words and word shapes; numbers of the page's layout."""
+        if len(self.seen) > self.bound:
+            self.__init__(self.bound)
+        text, get, add = text or "", self.seen.get, self.add
+        at, times = np.unique(np.array([get(w) or add(w) for w in WORDS.findall(text)], np.int64), return_counts=True)
+        if self.fresh:
+            start, more = len(self.seen) - len(self.fresh) + 1, len(self.fresh)
+            if start + more > len(self.facts):
+                self.facts = np.concatenate([self.facts, np.zeros((max(len(self.facts), more), 5), np.int64)])
+            self.facts[start : start + more] = self.fresh
+            self.fresh.clear()
+        facts, size, n_words = self.facts[at], max(len(text), 1), max(int(times.sum()), 1)
+        others, digits, capitals = (times @ facts[:, 2:]) / size
+        length = size if n_chars is None or not n_chars >= 0 else n_chars
+        numbers = [np.log1p(length) / 10, np.log1p(text.count("\n")) / 5, n_words / size, len(np.unique(facts[:, 0])) / n_words]
+        return np.unique(facts[:, :2] % DIMENSIONS), [*numbers, others, digits, capitals]
+
+
+def described(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, list[float]]]:
+    """Per row: coordinates of the text view, coordinates and numbers of the metadata view. Absent columns count as null."""
+    column = lambda c: batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows
+    for text, source, lang, n_chars in zip(*map(column, ("text", "source", "lang", "n_chars"))):
+        names = [f"{c} {'none' if v is None else v}" for c, v in (("source", source), ("lang", lang))]
+        at, numbers = words.views(text, None if n_chars is None else float(n_chars))
+        yield at, np.unique([coordinate(n, 2) % META_DIMENSIONS for n in names]), numbers
+
+
+def views(docs: DataFrame) -> DataFrame:
+    """``docs`` with the vectors of both views, for a sample to train on.
 
     Text: which lower-cased words and word shapes (letters as a, digits as 0) occur, hashed. Metadata: source, language
     and length as the table has them, and how the page is laid out: lines, word lengths, shares of symbols, digits and
     capitals, share of distinct words. Null text counts as empty; null metadata is a value of its own.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{N}+", "0"), r"[\x20\x09-\x0D]+")
-    shaped = F.transform(F.array_distinct(shapes), lambda s: F.concat(F.lit("shape "), F.substring(s, 1, 24)))
-    size = F.greatest(F.char_length(text), F.lit(1)).cast("double")
-    n_words = F.greatest(F.size("__words"), F.lit(1)).cast("double")
-    known = lambda name: F.col(name) if name in docs.columns else F.lit(None)
-    named = [F.concat(F.lit(f"{c} "), F.coalesce(known(c).cast("string"), F.lit("none"))) for c in ("source", "lang")]
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    numbers = F.array(
-        F.log1p(F.coalesce(known("n_chars").cast("double"), size)) / 10,
-        F.log1p(count("\n")) / 5,
-        n_words / size,
-        F.size("__distinct") / n_words,
-        count(r"[^\p{L}\p{N}\s]") / size,
-        count(r"\p{N}") / size,
-        count(r"\p{Lu}") / size,
-    )
-    wide = docs.withColumn("__words", words).withColumn("__distinct", F.array_distinct("__words"))
-    wide = wide.withColumn("__terms", F.concat("__distinct", shaped)).withColumn("__names", F.array(*named))
-    wide = wide.withColumn("__numbers", array_to_vector(numbers))
-    wide = HashingTF(numFeatures=DIMENSIONS, binary=True, inputCol="__terms", outputCol="__tf").transform(wide)
-    wide = Normalizer(inputCol="__tf", outputCol="text_view").transform(wide)
-    wide = HashingTF(numFeatures=META_DIMENSIONS, binary=True, inputCol="__names", outputCol="__who").transform(wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in small_batches(batches):
+            terms, names, numbers = zip(*((at.astype(str).tolist(), who.astype(str).tolist(), n) for at, who, n in described(batch, words)))
+            new = [pa.array(terms, pa.list_(pa.string())), pa.array(names, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__terms", "__names", "__numbers"])
+
+    added = [("__terms", T.ArrayType(T.StringType())), ("__names", T.ArrayType(T.StringType())), ("__numbers", T.ArrayType(T.DoubleType()))]
+    wide = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, kind) for n, kind in added]]))
+    for source, size, out in (("__terms", DIMENSIONS, "__tf"), ("__names", META_DIMENSIONS, "__who")):
+        wide = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], source, out, binary=True).transform(wide)
+    wide = Normalizer(inputCol="__tf", outputCol="text_view").transform(wide.withColumn("__numbers", array_to_vector("__numbers")))
     wide = VectorAssembler(inputCols=["__who", "__numbers"], outputCol="meta_view").transform(wide)
-    return wide.drop("__words", "__distinct", "__terms", "__names", "__numbers", "__tf", "__who")
+    return wide.drop("__terms", "__names", "__numbers", "__tf", "__who")
 
 
 def learner(view: str) -> LogisticRegression:
@@ -81,11 +139,25 @@ class CoTrained:
         """``docs`` with ``quality``: the mean of the views' calibrated log-odds as a probability."""
         if not self.models:
             return docs.withColumn("quality", F.lit(self.prior))
-        rows = views(docs.drop("quality"))
-        for view, model in self.models.items():
-            rows = margin(model, rows, f"__{view}")
-        total = sum((F.col(f"__{v}") * a + b for v, (a, b) in self.scales.items()), F.lit(0.0)) / len(self.scales)
-        return rows.withColumn("quality", 1 / (1 + F.exp(-total))).select(*[c for c in docs.columns if c != "quality"], "quality")
+        # Both views' weights, each scaled by its calibration and halved, add up to one linear score.
+        share = {v: a / len(self.scales) for v, (a, _) in self.scales.items()}
+        offset = sum(self.models[v].intercept * share[v] + b / len(self.scales) for v, (_, b) in self.scales.items())
+        weights = [self.models[v].coefficients.toArray() * share[v] for v in ("text_view", "meta_view")]
+        model = docs.sparkSession.sparkContext.broadcast(weights)
+        kept = docs.drop("quality")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (on_text, on_meta), words = model.value, Words()
+            on_numbers = on_meta[META_DIMENSIONS:]
+            for batch in small_batches(batches):
+                sums = [
+                    on_text[at].sum() / np.sqrt(max(len(at), 1)) + on_meta[who].sum() + on_numbers @ numbers
+                    for at, who, numbers in described(batch, words)
+                ]
+                value = 1 / (1 + np.exp(-np.clip(np.array(sums, float) + offset, -35, 35)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, "quality"])
+
+        return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("quality", T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 2, max_labelled: int = 8_000, max_pool: int = 8_000) -> CoTrained:
@@ -131,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs).select(
         "doc_id",
