@@ -32,7 +32,8 @@ SKETCH_WINDOWS = 4_000_000
 
 
 class Codes(dict):
-    """Numbers of words; ``lanes`` holds the 128-bit hash of each number. Forgets everything beyond a bound."""
+    """Numbers of words; ``lanes`` holds the 128-bit hash of each number. Forgets everything beyond a bound, so that
+    numbers hold within one text only; what leaves are hashes."""
 
     def __init__(self, bound: int = 250_000):
         super().__init__()
@@ -48,7 +49,8 @@ class Codes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > self.bound:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.lanes[:, numbers]
 
 
 class Windows:
@@ -61,15 +63,14 @@ class Windows:
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Both halves of the hash, the text's number in the batch and the window's first word, for every window."""
-        codes = [self.codes.of(split_words(t.as_py())) for t in texts]
-        sizes = np.array([len(c) for c in codes], np.int64)
+        lanes = [self.codes.of(split_words(t.as_py())) for t in texts]
+        sizes = np.array([c.shape[1] for c in lanes], np.int64)
         firsts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.arange(int(sizes.sum())) - firsts
         inside = np.flatnonzero(at <= np.repeat(sizes, sizes) - self.width)
-        numbers = np.concatenate([*codes, np.zeros(self.width, np.int64)])
+        columns = np.concatenate([*lanes, np.zeros((2, self.width), np.uint64)], axis=1)
         out = []
-        for lane in (0, 1):
-            column = self.codes.lanes[lane][numbers]
+        for lane, column in enumerate(columns):
             h = np.zeros(len(at), np.uint64)
             for k in range(self.width):
                 h += column[k : k + len(at)] * self.factors[lane, k]

@@ -244,6 +244,21 @@ def test_repeated_windows(spark, docs, none, monkeypatch, common):
         assert (r.n_words, r.n_removed, r.kept_text) == (len(words), len(gone), kept)
 
 
+@pytest.mark.parametrize("bound", [1, 7, 40])
+def test_window_hashes_when_words_are_forgotten(bound):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, n)) for n in rng.integers(0, 60, 40)] + [None, PASSAGE, "x " + PASSAGE]
+    windows, seen = substring.Windows(3), {}
+    windows.codes.bound = bound
+    for batch in (texts[:25], texts[25:], texts):
+        h1, h2, owner, at = windows.hashes(substring.pa.array(batch, substring.pa.string()))
+        expected = [(n, k) for n, t in enumerate(batch) for k in range(len((t or "").split()) - 2)]
+        assert list(zip(owner.tolist(), at.tolist())) == expected
+        for a, b, (n, k) in zip(h1.tolist(), h2.tolist(), expected):
+            assert seen.setdefault(tuple(batch[n].split()[k : k + 3]), (a, b)) == (a, b)
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = docs
