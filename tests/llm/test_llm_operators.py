@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from busweave.llm import bpe, cotrain, exact, html_blocks, mixing, simhash, substring, tokenfiles, toxicity, vafile  # noqa: E402
+from busweave.llm import bpe, cotrain, exact, html_blocks, mixing, nearcopies, simhash, substring, tokenfiles, toxicity, vafile  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -259,6 +259,50 @@ def test_window_hashes_when_words_are_forgotten(bound):
     assert len(set(seen.values())) == len(seen)
 
 
+def near_copy_groups(rows):
+    """Smallest id per row, by brute force over all pairs."""
+    sets = []
+    for _, text in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    low = list(range(len(rows)))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if low[x] != low[y] and 10 * len(a & b) >= 8 * len(a | b):
+                low = [low[y] if k == low[x] else k for k in low]
+    ids = {c: min([i for (i, _), k in zip(rows, low) if k == c and i is not None], default=None) for c in low}
+    return [ids[c] for c in low]
+
+
+def planted_near_copies():
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(25):
+        words = [f"v{k}" for k in rng.integers(0, 4000, 200)]
+        rows.append(words)
+        for edits in range(1, 12):  # one to eleven changed words: similarity from about 0.95 down to 0.57
+            copy = list(words)
+            for k in rng.choice(200, edits, replace=False):
+                copy[k] = f"e{base}x{k}"
+            rows.append(copy)
+    texts = [" ".join(w) for w in rows] + [rows[0][0].upper() + " " + " ".join(rows[0][1:]), "", None, "  ", "one two", "One  two", "one three"]
+    return [(len(texts) - n, t) for n, t in enumerate(texts)] + [(None, " ".join(rows[12])), (7000, "lonely words of its own, six")]
+
+
+@pytest.mark.parametrize("part", [256, 4])
+def test_near_copies(spark, none, monkeypatch, part):
+    monkeypatch.setattr(nearcopies, "PART", part)
+    rows = planted_near_copies()
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    expected = near_copy_groups(rows)
+    got = nearcopies.near_copies(table).collect()
+    assert Counter((r.id, r.component_id) for r in got) == Counter((i, c) for (i, _), c in zip(rows, expected))
+    kept = corpus_pipeline.drop_near_copies(spark, table, "").collect()
+    stay = [(i, t) for (i, t), c in zip(rows, expected) if i is None or i == c]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(stay) and len(stay) < len(rows)
+    assert nearcopies.near_copies(none).count() == 0
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = docs
