@@ -223,6 +223,30 @@ def test_pages(spark):
     assert html_blocks.extract(table.limit(0)).count() == 0
 
 
+LONG = "long text of the article " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<p>Opening." + "<div class=notice>n</div>" * 4 + f"<p>{LONG}" + "<p><a href=x>link</a>" * 3 + "<p>Closing.", ["Opening.", LONG, "Closing."]),
+        (f"<article><p class=notice>n<p>{LONG}<p>Second</article>", [LONG, "Second"]),
+        ("<article><p class=notice>n<div>One</div><p>Two</article>", ["One", "Two"]),
+        (f"<div><p class=notice>n</div><p>{LONG}<p>Second", [LONG, "Second"]),
+        ("<ul><li>One<li class=share>s<ul><li>inner</ul>s<li>Two</ul><p>Three", ["One", "Two", "Three"]),
+        ("<ul><li>One<li class=share>s</ul><p>Two", ["One", "Two"]),
+        ("<table><tr><td class=sidebar>s<p>t<table><tr><td>u</table>v<td>One<tr><td>Two</table><p>Three", ["One", "Two", "Three"]),
+        ("<dl><dt>One<dd class=ad>a<dt>Two</dl>Three", ["One", "Two", "Three"]),
+        ("<article><div class=sidebar>s<p>t</article><article>One</article>", ["One"]),
+        ("<html><head><title>t</title><meta charset=x><body><p>One", ["One"]),
+        ("<p>One <span class=ad>a<span>b</span>c</span> end<p class=ad>a</p><p>Two", ["One end", "Two"]),
+        ("<div>One<select><option>a<option>b</select><div class=menu><div>m</div>n</div>Two</div>", ["One", "Two"]),
+    ],
+)
+def test_pages_with_runs_of_notices_and_open_furniture(page, expected):
+    assert html_blocks.main_text(page).split("\n") == [" ".join(e.split()) for e in expected]
+
+
 @pytest.mark.parametrize("common", [2, 8000])
 def test_repeated_windows(spark, docs, none, monkeypatch, common):
     monkeypatch.setattr(substring, "COMMON", common)
