@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from busweave.llm import bpe, cotrain, exact, html_blocks, lexical, mixing, simhash, substring, tokenfiles, toxicity, vafile
+from busweave.llm import bpe, cotrain, exact, html_blocks, lexical, mixing, simhash, substring, tokenfiles, toxicity, vafile, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,9 +14,11 @@ QUERIES = {
     "op9_html_text": html_blocks.op9_html_text,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_warc": warc.op12_warc,
 }
 SQL = {
     "op2_exact_dedup": exact.SQL,
     "op3_top_k": vafile.SQL,
     "op11_lexical_search": lexical.SQL,
+    "op12_warc": warc.SQL,
 }
