@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from busweave.llm import bpe, cotrain, exact, html_blocks, lexical, mixing, simhash, substring, tokenfiles, toxicity, vafile, warc
+from busweave.llm import bpe, cotrain, exact, html_blocks, lexical, mixing, runs, simhash, substring, tokenfiles, toxicity, vafile, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op12_warc": warc.op12_warc,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 SQL = {
     "op2_exact_dedup": exact.SQL,
