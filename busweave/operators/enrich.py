@@ -12,6 +12,8 @@ from busweave.functions.times import minutes_between
 from busweave.operators.best import best_match
 from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import first_per_key
+from busweave.operators.streets import containing_pairs
+
 
 def nearest_station(df: DataFrame, stations: DataFrame, row_id: Sequence[str]) -> DataFrame:
     """Nearest weather station of each row: ``station`` and ``station_m``; the smallest id wins ties."""
@@ -52,11 +54,15 @@ def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts:
     return found.drop("__day", "__hour")
 
 
-def _street_pairs(rows: DataFrame, reports: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Street names of rows and reports that match, looked up once per distinct name and key."""
-    mine = rows.select(*keys, "street").where(F.col("street").isNotNull() & (F.col("street") != "-")).distinct()
-    theirs = reports.select(*keys, "report_street").where(F.col("report_street") != "").distinct()
-    return mine.join(theirs, list(keys)).where(F.col("report_street").contains(F.col("street")))
+def _by_street(rows: DataFrame, reports: DataFrame) -> DataFrame:
+    """``reports`` once per street name of ``rows`` that their ``report_street`` holds, as ``street``.
+
+    Distinct names meet distinct streets once, whatever the number of cells and hours they occur in.
+    """
+    names = rows.where(F.col("street") != "-").select(F.col("street").alias("name"))
+    streets = reports.where(F.col("report_street") != "").select(F.col("report_street").alias("text"))
+    pairs = containing_pairs(names, streets).select(F.col("name").alias("street"), F.col("text").alias("report_street"))
+    return reports.join(pairs, "report_street")
 
 
 def match_alerts(
@@ -79,7 +85,7 @@ def match_alerts(
     hour_of = lambda c: F.floor(F.col(c).cast("long") / 3600)
     reach_back = -(-after_min // 60)
     reach_on = -(-before_min // 60)
-    listed = alerts.select(
+    named = alerts.select(
         "cell",
         F.col("street").alias("report_street"),
         F.col("ts").alias("alert_ts"),
@@ -87,11 +93,11 @@ def match_alerts(
         F.col("lon").alias("alert_lon"),
         "alert_id",
         *[c for c in take if c != "alert_id"],
-        F.explode(F.sequence(hour_of("ts") - reach_back, hour_of("ts") + reach_on)).alias("__hour"),
     )
+    hours = F.sequence(hour_of("alert_ts") - reach_back, hour_of("alert_ts") + reach_on)
     rows = df.withColumn("__hour", hour_of(ts))
     keys = ["cell", "__hour"]
-    options = _street_pairs(rows, listed, keys).join(listed, [*keys, "report_street"])
+    options = _by_street(df, named).withColumn("__hour", F.explode(hours))
     gap = minutes_between(F.col(ts), F.col("alert_ts"))
     valid = ((gap <= 0) & (F.abs(gap) < before_min)) | ((gap > 0) & (gap < after_min))
     extra = {c: F.col(c) for c in take}
@@ -123,7 +129,7 @@ def match_jams(
     )
     rows = df.withColumns({"__day": F.to_date(ts), "__hour": F.hour(ts)})
     keys = ["__day", "__hour"]
-    options = _street_pairs(rows, listed, keys).join(listed, [*keys, "report_street"])
+    options = _by_street(rows, listed)
     gap = F.abs(minutes_between(F.col(ts), F.col("jam_ts")))
     found = best_match(
         rows,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from busweave.operators import enrich as E
 from busweave.operators import interpolate as I
 from busweave.operators.nearest import nearest_point
+from busweave.operators.streets import containing_pairs
 from busweave.plans import bindings as B
 from busweave.plans.registry import query
 from busweave.session import checkpointed
@@ -122,6 +123,19 @@ def _(t):
     return out.select("event_id", "alert_id", "alert_confidence", F.col("alert_ts").cast("long").alias("alert_s"), "alert_m")
 
 
+@query(
+    "j09_containing_pairs",
+    """WITH names AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS name FROM orders), texts AS (SELECT DISTINCT c_name AS text FROM customer)
+    SELECT name, count(*) AS texts, min(text) AS first_text, max(text) AS last_text FROM names JOIN texts ON contains(text, name) GROUP BY name""",
+)
+def _(t):
+    names = t.orders.select(F.col("o_custkey").cast("string").alias("name"))
+    pairs = containing_pairs(names, t.customer.select(F.col("c_name").alias("text")))
+    return pairs.groupBy("name").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("text").alias("first_text"), F.max("text").alias("last_text")
+    )
+
+
 _JAMS = """jams AS (SELECT event_id AS jam_id, 'S' || (bus % 7) || '-S' || (k % 7) AS street, ts, s, event_id % 11 AS jam_level FROM pings WHERE route = 'view')"""
 _JAM_HIT = f"""jhit AS (SELECT r.event_id, arg_min(a.jam_id, (abs({_GAP}), a.ts, a.jam_id)) AS jam_id
   FROM rows_in r JOIN jams a ON CAST(a.ts AS DATE) = CAST(r.ts AS DATE) AND hour(a.ts) = hour(r.ts) AND contains(a.street, r.street)
