@@ -1,8 +1,10 @@
 """Exact k-nearest-neighbour vote over feature vectors.
 
-Training rows are grouped around pivots. The triangle inequality tells which groups can hold one of a
-row's k nearest neighbours; groups are cut into blocks of bounded size, and each pair of blocks is one
-Arrow batch of matrix arithmetic. Nothing is dropped: groups ruled out cannot hold a neighbour.
+Training rows form a tree of clusters that splits until a leaf holds a bounded number of rows, so that its size
+follows the data; each node has a centre, a radius and a count. A row first searches the leaf around it, which bounds
+the distance of its k-th neighbour, then goes down all branches that can hold something closer, by the triangle
+inequality. Each leaf meets the rows that reach it in blocks of bounded size, one Arrow batch of matrix arithmetic
+each. Nothing is dropped: branches ruled out cannot hold a neighbour.
 """
 
 from __future__ import annotations
@@ -16,80 +18,127 @@ from busweave.operators.features import row_hash
 from busweave.session import checkpointed
 
 BLOCK_ROWS = 4096
+#: Training rows of a leaf at most, but for rows that are all alike.
+LEAF_ROWS = 2048
 
 
-def _vector_literal(vector) -> str:
-    return "array(" + ", ".join(f"{float(v)!r}D" for v in vector) + ")"
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _pivot_distances(pivots: list) -> Column:
-    literal = "array(" + ", ".join(_vector_literal(p) for p in pivots) + ")"
-    return F.expr(
-        f"transform({literal}, p -> sqrt(aggregate(zip_with(p, __v, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)))"
-    )
+def _stats(rows: DataFrame) -> DataFrame:
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("to_centre").alias("radius"))
+    return checkpointed(nodes, "knn-nodes")
 
 
-def _map_literal(values: dict[int, int | float], cast: str) -> Column:
-    return F.expr("map(" + ", ".join(f"{k}, cast({v!r} AS {cast})" for k, v in values.items()) + ")")
+def _centres(rows: DataFrame, pivots: int, level: int) -> DataFrame:
+    """``node, centres``: of each node some rows by hash and one of those farthest from its centre, distinct vectors."""
+    mixed = Window.partitionBy("node").orderBy(F.xxhash64("train_id", F.lit(level)), "train_id")
+    place = rows.withColumn("__place", F.row_number().over(mixed)).where(F.col("__place") < pivots)
+    far = rows.where("to_centre = radius").withColumn("__place", F.row_number().over(mixed)).where("__place = 1")
+    picked = place.select("node", "__v").unionByName(far.select("node", "__v"))
+    centres = picked.groupBy("node").agg(F.array_sort(F.array_distinct(F.collect_list("__v"))).alias("centres"))
+    return checkpointed(centres, "knn-centres")
 
 
-def knn_neighbours(
-    train: DataFrame,
-    test: DataFrame,
-    row_id: str,
-    vector: str,
-    k: int = 5,
-    pivots: int = 16,
-    leave_self_out: bool = False,
-    carry: str | None = None,
-) -> DataFrame:
-    """``test_id, train_id, distance, place`` of the k nearest training rows of every test row.
+def cluster_tree(base: DataFrame, pivots: int = 16, leaf_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaf of every row of ``base (train_id, __v, …)``, the nodes below each split node, and the root.
 
-    ``leave_self_out`` ignores the training row with the test row's own id. Ties go to the smaller id.
+    A node with more than ``leaf_rows`` rows is split among up to ``pivots`` of its own rows, each row going to the
+    nearest; one of them is as far from the node's centre as any, so that only rows that are all alike stay together.
+    Rounds grow with the logarithm of the rows. Returns ``rows (…, node)``, ``tree (parent, children)`` and
+    ``root (centre, radius, n, leaf)`` with one row.
     """
-    extra = [F.col(carry).alias("__carry")] if carry else [F.lit(None).cast("string").alias("__carry")]
-    as_vector = F.col(vector).cast("array<double>").alias("__v")
-    base = train.select(F.col(row_id).cast("long").alias("train_id"), as_vector, *extra)
-    chosen = [r[0] for r in base.orderBy(row_hash("train_id")).select("__v").limit(pivots).collect()]
-    if not chosen:
+    leaf_rows = leaf_rows or LEAF_ROWS
+    if base.isEmpty():
         raise ValueError("no training rows")
-    near = F.expr("array_min(transform(__d, (d, i) -> struct(d AS d, i AS i)))")
-    homed = checkpointed(
-        base.withColumn("__d", _pivot_distances(chosen)).withColumn("__h", near).select(
-            "train_id", "__v", "__carry", F.col("__h.i").alias("pivot"), F.col("__h.d").alias("to_pivot")
-        ),
-        "knn-train",
-    )
-    # One row per pivot: a table of bounded size.
-    groups = homed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("r")).collect()
-    radius = {g["pivot"]: g["r"] for g in groups}
-    train_blocks = {g["pivot"]: -(-g["n"] // BLOCK_ROWS) for g in groups}
-    need = k + int(leave_self_out)
-    stats = "array(" + ", ".join(f"named_struct('i', {g['pivot']}, 'n', {g['n']}L, 'r', {g['r']!r}D)" for g in groups) + ")"
-    # Upper bound of the k-th distance: fill groups in the order of their farthest possible point.
-    bound = F.expr(
-        f"""aggregate(array_sort(transform({stats}, g -> struct(element_at(__d, g.i + 1) + g.r AS far, g.n AS n))),
-            struct(0L AS seen, double('inf') AS far),
-            (acc, g) -> CASE WHEN acc.seen >= {need} THEN acc ELSE struct(acc.seen + g.n AS seen, g.far AS far) END).far"""
+    first = base.orderBy(row_hash("train_id"), "train_id").limit(1).select(F.col("__v").alias("__c"))
+    start = base.withColumn("node", F.lit("0")).join(first.withColumn("node", F.lit("0")), "node")
+    open_rows = checkpointed(start.withColumn("to_centre", _distance(F.col("__v"), F.col("__c"))).drop("__c"), "knn-rows")
+    splits = (F.col("n") > leaf_rows) & (F.col("radius") > 0)
+    stats, level, leaves, trees = _stats(open_rows), 0, [], []
+    root = stats.join(first.withColumn("node", F.lit("0")), "node").select(
+        "node", F.col("__c").alias("centre"), "radius", "n", (~splits).alias("leaf")
     )
-    reachable = F.expr(f"transform(filter({stats}, g -> element_at(__d, g.i + 1) - g.r <= __bound * 1.000000001D + 1e-9D), g -> g.i)")
-    asked = test.select(F.col(row_id).cast("long").alias("test_id"), as_vector)
-    asked = asked.withColumn("__d", _pivot_distances(chosen)).withColumn("__bound", bound)
-    asked = checkpointed(asked.select("test_id", "__v", F.explode(reachable).alias("pivot")), "knn-test")
-    sizes = {r["pivot"]: r["n"] for r in asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    test_blocks = {p: max(1, -(-sizes.get(p, 0) // BLOCK_ROWS)) for p in radius}
-
-    def block(key: str, blocks: dict[int, int]) -> Column:
-        return row_hash(key) % F.element_at(_map_literal(blocks, "bigint"), F.col("pivot"))
-
-    def every(blocks: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(_map_literal(blocks, "bigint"), F.col("pivot")) - 1))
-
-    left = asked.withColumns({"tb": block("test_id", test_blocks), "rb": every(train_blocks)})
-    right = homed.withColumn("rb", block("train_id", train_blocks)).withColumn("tb", every(test_blocks))
-    carry_type = train.schema[carry].dataType.simpleString() if carry else "string"
-
-    def nearest_in_block(asked_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    while True:
+        split = stats.where(splits).select("node", "radius")
+        leaves.append(open_rows.join(split, "node", "left_anti").drop("to_centre"))
+        if split.isEmpty():
+            break
+        inside = open_rows.join(split, "node")
+        centres = _centres(inside, pivots, level)
+        nearest = F.array_min(F.transform("centres", lambda c, i: F.struct(_distance(c, F.col("__v")).alias("d"), i.alias("i"))))
+        below = inside.drop("to_centre", "radius").join(centres, "node").withColumn("__h", nearest).drop("centres")
+        below = below.withColumns({"node": F.concat_ws(".", "node", "__h.i"), "to_centre": F.col("__h.d")}).drop("__h")
+        open_rows = checkpointed(below, "knn-rows")
+        stats = _stats(open_rows)
+        listed = centres.select(F.col("node").alias("parent"), F.posexplode("centres").alias("i", "centre"))
+        listed = listed.withColumn("node", F.concat_ws(".", "parent", "i")).join(stats, "node")
+        child = F.struct("node", "centre", "radius", "n", (~splits).alias("leaf"))
+        trees.append(listed.groupBy("parent").agg(F.collect_list(child).alias("children")))
+        level += 1
+    rows, tree = leaves[0], trees[0] if trees else None
+    for more in leaves[1:]:
+        rows = rows.unionByName(more)
+    for more in trees[1:]:
+        tree = tree.unionByName(more)
+    kind = "array<struct<node:string,centre:array<double>,radius:double,n:bigint,leaf:boolean>>"
+    if tree is None:
+        tree = base.sparkSession.createDataFrame([], f"parent string, children {kind}")
+    return rows, checkpointed(tree, "knn-tree"), checkpointed(root, "knn-root")
+
+
+def _home(asked: DataFrame, tree: DataFrame, root: DataFrame, need: int) -> DataFrame:
+    """Leaf around each row: down to the nearest child as long as it holds ``need`` rows; null where that ends above a leaf.
+
+    ``bound`` is the least distance within which some node on the way is known to hold ``need`` rows.
+    """
+    far = lambda d, node: F.when(F.col(f"{node}.n") >= need, d + F.col(f"{node}.radius")).otherwise(F.lit(float("inf")))
+    to_root = _distance(F.col("__v"), F.col("root.centre"))
+    top = root.select(F.struct("node", "centre", "radius", "n", "leaf").alias("root"), F.lit(0).alias("__one"))
+    front = asked.withColumn("__one", F.lit(0)).join(top, "__one").drop("__one")
+    front = front.withColumn("bound", far(to_root, "root")).select(*asked.columns, "bound", F.struct("root.node", "root.leaf").alias("at"))
+    done = []
+    while True:
+        front = checkpointed(front, "knn-home")
+        done.append(front.where("at IS NULL OR at.leaf").select(*asked.columns, "bound", F.col("at.node").alias("home")))
+        front = front.where("NOT at.leaf")
+        if front.isEmpty():
+            break
+        ways = front.join(tree, F.col("at.node") == F.col("parent"))
+        reach = lambda c: F.struct(_distance(c["centre"], F.col("__v")).alias("d"), c["node"].alias("node"), c["radius"].alias("radius"), c["n"].alias("n"), c["leaf"].alias("leaf"))
+        ways = ways.withColumn("__next", F.array_min(F.transform(F.filter("children", lambda c: c["n"] >= need), reach)))
+        tighter = F.least("bound", F.coalesce(F.col("__next.d") + F.col("__next.radius"), F.lit(float("inf"))))
+        at = F.when(F.col("__next").isNotNull(), F.struct("__next.node", "__next.leaf"))
+        front = ways.select(*asked.columns, tighter.alias("bound"), at.alias("at"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return checkpointed(out, "knn-bound")
+
+
+def _reachable(asked: DataFrame, tree: DataFrame, root: DataFrame) -> DataFrame:
+    """``(test_id, __v, home, node)`` for every leaf that can hold a row within the row's ``bound``."""
+    top = root.select("node", "leaf")
+    front = asked.withColumn("__one", F.lit(0)).join(top.withColumn("__one", F.lit(0)), "__one").drop("__one")
+    done = []
+    while True:
+        front = checkpointed(front, "knn-front")
+        done.append(front.where("leaf").drop("leaf", "bound"))
+        front = front.where("NOT leaf")
+        if front.isEmpty():
+            break
+        within = lambda c: _distance(c["centre"], F.col("__v")) - c["radius"] <= F.col("bound") * 1.000000001 + 1e-9
+        ways = front.join(tree, F.col("node") == F.col("parent")).withColumn("__c", F.explode(F.filter("children", within)))
+        front = ways.select(*asked.columns, F.col("__c.node").alias("node"), F.col("__c.leaf").alias("leaf"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest_in_block(need: int):
+    def nearest(asked_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"test_id": [], "train_id": [], "distance": [], "__carry": []})
         if asked_rows.empty or rows.empty:
             return empty
@@ -123,19 +172,70 @@ def knn_neighbours(
             )
         return pd.concat(out)
 
-    keys = ["pivot", "tb", "rb"]
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(nearest_in_block, f"test_id long, train_id long, distance double, __carry {carry_type}")
-    )
+    return nearest
+
+
+def _search(asked: DataFrame, rows: DataFrame, need: int, carry_type: str) -> DataFrame:
+    """Nearest training rows of every pair ``asked (test_id, __v, node)``, leaf by leaf in blocks of bounded size."""
+    blocks = lambda df, name: df.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias(name))
+    sizes = checkpointed(blocks(asked, "__tb").join(blocks(rows, "__rb"), "node"), "knn-blocks")
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    left = asked.select("test_id", "__v", "node").join(sizes, "node").withColumns({"tb": row_hash("test_id") % F.col("__tb"), "rb": every("__rb")})
+    right = rows.join(sizes, "node").withColumn("rb", row_hash("train_id") % F.col("__rb")).withColumn("tb", every("__tb"))
+    keys = ["node", "tb", "rb"]
+    both = left.drop("__tb", "__rb").groupBy(*keys).cogroup(right.drop("__tb", "__rb").groupBy(*keys))
+    return both.applyInPandas(_nearest_in_block(need), f"test_id long, train_id long, distance double, __carry {carry_type}")
+
+
+def knn_neighbours(
+    train: DataFrame,
+    test: DataFrame,
+    row_id: str,
+    vector: str,
+    k: int = 5,
+    pivots: int = 16,
+    leave_self_out: bool = False,
+    carry: str | None = None,
+    leaf_rows: int | None = None,
+) -> DataFrame:
+    """``test_id, train_id, distance, place`` of the k nearest training rows of every test row.
+
+    ``leave_self_out`` ignores the training row with the test row's own id. Ties go to the smaller id. ``pivots`` is
+    the number of children of a node of the tree.
+    """
+    extra = [F.col(carry).alias("__carry")] if carry else [F.lit(None).cast("string").alias("__carry")]
+    as_vector = F.col(vector).cast("array<double>").alias("__v")
+    base = train.select(F.col(row_id).cast("long").alias("train_id"), as_vector, *extra)
+    rows, tree, root = cluster_tree(base, pivots, leaf_rows)
+    need = k + int(leave_self_out)
+    carry_type = train.schema[carry].dataType.simpleString() if carry else "string"
+    asked = _home(test.select(F.col(row_id).cast("long").alias("test_id"), as_vector), tree, root, need)
+    at_home = _search(asked.where("home IS NOT NULL").withColumnRenamed("home", "node"), rows, need, carry_type)
+    at_home = checkpointed(at_home, "knn-at-home")
+    best = Window.partitionBy("test_id").orderBy("distance", "train_id")
+    kth = at_home.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == need)
+    kth = kth.select(F.col("test_id").alias("__id"), "distance")
+    tight = asked.join(kth, F.col("test_id") == F.col("__id"), "left")
+    tight = tight.select("test_id", "__v", "home", F.least("bound", F.coalesce("distance", F.lit(float("inf")))).alias("bound"))
+    elsewhere = _reachable(tight, tree, root).where(~F.col("node").eqNullSafe(F.col("home")))
+    found = at_home.unionByName(_search(checkpointed(elsewhere, "knn-elsewhere"), rows, need, carry_type))
     if leave_self_out:
         found = found.where("test_id <> train_id")
-    order = Window.partitionBy("test_id").orderBy("distance", "train_id")
-    out = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    out = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return out.withColumnRenamed("__carry", carry) if carry else out.drop("__carry")
 
 
+def share_skipped(train: DataFrame, test: DataFrame, row_id: str, vector: str, k: int = 5, pivots: int = 16, leaf_rows: int | None = None) -> float:
+    """Share of the pairs of a test row and a leaf that the tree rules out, with the exact bound of ``knn_neighbours``."""
+    as_vector = F.col(vector).cast("array<double>").alias("__v")
+    rows, tree, root = cluster_tree(train.select(F.col(row_id).cast("long").alias("train_id"), as_vector), pivots, leaf_rows)
+    near = knn_neighbours(train, test, row_id, vector, k, pivots, leaf_rows=leaf_rows).where(F.col("place") == k)
+    asked = test.select(F.col(row_id).cast("long").alias("test_id"), as_vector)
+    asked = asked.join(near.select("test_id", F.col("distance").alias("bound")), "test_id")
+    met = _reachable(asked, tree, root).count()
+    return 1 - met / (asked.count() * rows.select("node").distinct().count())
+
+
 def knn_vote(
     train: DataFrame, test: DataFrame, row_id: str, vector: str, label: str, k: int = 5, leave_self_out: bool = False
 ) -> DataFrame:

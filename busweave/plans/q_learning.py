@@ -51,6 +51,22 @@ def _(t):
     return N.knn_vote(moved, moved, "vec_id", "embedding", "label", 5, leave_self_out=True)
 
 
+_PLACED = "SELECT c_custkey AS id, c_acctbal / 1000.0::DOUBLE AS x, c_nationkey::DOUBLE AS y, c_mktsegment AS segment FROM customer"
+
+
+@query(
+    "m18_knn_customers",
+    f"""WITH c AS ({_PLACED}),
+    near AS (SELECT a.id AS test_id, unnest(min((sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id, b.segment), 5)) AS n FROM c a JOIN c b ON a.id <> b.id GROUP BY a.id),
+    votes AS (SELECT test_id, struct_extract(n, 3) AS segment, count(*) AS n FROM near GROUP BY 1, 2)
+    SELECT test_id, arg_min(segment, (-n, segment)) AS prediction FROM votes GROUP BY test_id""",
+)
+def _(t):
+    features = F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey").cast("double"))
+    rows = t.customer.select("c_custkey", features.alias("features"), F.col("c_mktsegment").alias("segment"))
+    return N.knn_vote(rows, rows, "c_custkey", "features", "segment", 5, leave_self_out=True)
+
+
 def _metrics(df, label, pred):
     out = P.class_metrics(df.withColumn(pred, F.col(pred).cast("int")), label, pred)
     return out.select(F.lit(pred).alias("model"), *out.columns)
