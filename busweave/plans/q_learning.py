@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from busweave.operators import continued as C
 from busweave.operators import learning as L
 from busweave.operators import neighbours as N
 from busweave.operators import profile as P
@@ -141,6 +142,52 @@ def _(t):
     return _metrics(L.predict_slices(models, rows), "y", "prediction")
 
 
+def _slices(rows):
+    """Half of the rows, twice a fifth, and a tenth that no fit sees."""
+    folds = L.hash_fold(rows, "row_id", 10)
+    return [folds.where("fold < 5"), folds.where("fold IN (5, 6)"), folds.where("fold IN (7, 8)")], folds.where("fold = 9")
+
+
+def _continued(fit, **params):
+    def build(t):
+        slices, held_out = _slices(_rows(t))
+        chains = C.continue_slices(slices, fit, ["price", "discount", "tax"], "y", **params)
+        parts = [_metrics(C.predict_chain(chain, held_out), "y", "prediction").withColumn("slices", F.lit(i)) for i, chain in enumerate(chains, 1)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    return build
+
+
+query("m13_continued_boosting")(_continued(C.continue_boosting, rounds=3, depth=3))
+query("m13_continued_logistic")(_continued(C.continue_logistic))
+
+# With one feature of two values a tree is a split between them: each value's margin follows a recursion of its own.
+_STUMP_ROUNDS, _STUMP_RATE = 2, 0.3
+
+
+@query(
+    "m13_continued_stumps",
+    f"""WITH RECURSIVE r AS (SELECT {B.ROW_KEY} AS row_id, CAST(l_returnflag = 'R' AS INTEGER) AS x,
+      CAST(l_quantity + CASE WHEN l_returnflag = 'R' THEN 12 ELSE 0 END > 25 AS INTEGER) AS y FROM lineitem),
+    f AS (SELECT *, CAST('0x' || substr(md5(row_id), 1, 8) AS BIGINT) % 10 AS fold FROM r),
+    g AS (SELECT x, CASE WHEN fold < 5 THEN 1 WHEN fold < 7 THEN 2 ELSE 3 END AS slice, avg(y) AS share FROM f WHERE fold < 9 GROUP BY ALL),
+    s AS (SELECT ln((sum(y) + 0.5::DOUBLE) / (count(*) - sum(y) + 0.5::DOUBLE)) AS margin FROM f WHERE fold < 5),
+    m AS (SELECT x, 0 AS step, margin FROM s, (VALUES (0), (1)) v(x)
+      UNION ALL SELECT m.x, m.step + 1, m.margin + {_STUMP_RATE}::DOUBLE * (g.share - 1 / (1 + exp(-m.margin))) / ((1 / (1 + exp(-m.margin))) * (1 - 1 / (1 + exp(-m.margin))))
+      FROM m JOIN g ON g.x = m.x AND g.slice = m.step // {_STUMP_ROUNDS} + 1)
+    SELECT step // {_STUMP_ROUNDS} AS slices, x, round(margin, 6) AS margin, rows FROM m JOIN (SELECT x, count(*) AS rows FROM f WHERE fold = 9 GROUP BY x) USING (x)
+    WHERE step > 0 AND step % {_STUMP_ROUNDS} = 0""",
+)
+def _(t):
+    returned = F.col("l_returnflag") == "R"
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"), returned.cast("int").alias("x"), (F.col("l_quantity") + F.when(returned, 12).otherwise(0) > 25).cast("int").alias("y"))
+    slices, held_out = _slices(rows)
+    chains = C.continue_slices(slices, C.continue_boosting, ["x"], "y", rounds=_STUMP_ROUNDS, rate=_STUMP_RATE, depth=1)
+    parts = [C.predict_chain(chain, held_out).withColumn("slices", F.lit(i)) for i, chain in enumerate(chains, 1)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("slices", "x").agg(F.round(F.min("margin"), 6).alias("margin"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("m16_stack")
 def _(t):
     rows = split(_rows(t).drop("label"), "row_id", 0.8)
