@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busweave.functions.geo import haversine_m, is_round_trip, shape_threshold_m
@@ -146,59 +145,85 @@ def closest_per_tag(candidates: DataFrame, block: int = POINT_BLOCK) -> DataFram
     )
 
 
-_PAIRS = "day date, bus string, shape long, trip_num int, first_idx long, last_idx long, broken boolean"
-
-
-def _consecutive(points: list[int]) -> list[tuple[int, int, bool]]:
-    """Only one kind of end: every trip runs from one point to the next."""
-    starts = [points[0]] + [p + 1 for p in points[1:-1]]
-    return [(a, b, False) for a, b in zip(starts, points[1:])]
-
-
-def _alternating(firsts: list[int], lasts: list[int]) -> list[tuple[int, int, bool]]:
-    """Start points meet the next end point; leftovers mark or split broken trips."""
-    trips: list[tuple[int, int, bool]] = []
-    closed, ends = 0, iter(lasts)
-    left = len(lasts)
-    for n, start in enumerate(firsts):
-        if left == 0:
-            break
-        if n > 0 and start <= closed:
-            if trips:
-                a, b, _ = trips.pop()
-                trips += [(a, start, True), (start + 1, b, False)]
-            continue
-        for end in ends:
-            left -= 1
-            if end > start:
-                trips.append((start, end, False))
-                closed = end
-                break
-            if n > 0:
-                trips.append((closed, end, True))
-    return trips
-
-
-def _pair_group(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
-    firsts = sorted(points.loc[points["kind"] == "FIRST", "idx"].tolist())
-    lasts = sorted(points.loc[points["kind"] == "LAST", "idx"].tolist())
-    if firsts and lasts:
-        trips = _alternating(firsts, lasts)
-    else:
-        only = firsts or lasts
-        trips = _consecutive(only) if len(only) >= 2 else []
-    rows = [(*key, n, a, b, broken) for n, (a, b, broken) in enumerate(trips, start=1)]
-    return pd.DataFrame(rows, columns=["day", "bus", "shape", "trip_num", "first_idx", "last_idx", "broken"])
+_TRIPS = "array<struct<first_idx:bigint,last_idx:bigint,broken:boolean>>"
+
+
+def _trip(first: Column, last: Column, broken: Column) -> Column:
+    return F.struct(first.alias("first_idx"), last.alias("last_idx"), broken.alias("broken"))
+
+
+def _alternating(ends: Column, last_start: Column, last_end: Column) -> Column:
+    """Trips between start and end points, one after the other, as a fold over ``ends`` (structs ``idx, start``).
+
+    ``ends`` are sorted, an end point before a start point of the same place. The first start point opens a trip and
+    the next end point after it closes it. Start points inside a trip split it there, the parts before them being
+    broken; inside the trip that takes the last end point they change nothing. An end point that finds no open trip
+    marks a broken stretch from the last closed one if a start point comes later and one came before.
+    """
+    nothing = F.array().cast(_TRIPS)
+    zero = F.struct(
+        F.lit(0).cast("long").alias("closed"),
+        F.lit(None).cast("long").alias("open"),
+        F.array().cast("array<bigint>").alias("inner"),
+        F.lit(False).alias("seen"),
+        nothing.alias("trips"),
+    )
+
+    def step(state: Column, point: Column) -> Column:
+        at, trips, opened, closed, inner = point["idx"], state["trips"], state["open"], state["closed"], state["inner"]
+        # A start point where the last trip ended splits it.
+        meets = state["seen"] & opened.isNull() & (at <= closed)
+        tail = F.try_element_at(trips, F.lit(-1))
+        cut = F.concat(
+            F.slice(trips, 1, F.greatest(F.size(trips) - 1, F.lit(0))),
+            F.array(_trip(tail["first_idx"], at, F.lit(True)), _trip(at + 1, tail["last_idx"], F.lit(False))),
+        )
+        after_start = F.when(meets & (F.size(trips) > 0) & (closed < last_end), cut).otherwise(trips)
+        opens = opened.isNull() & ~meets
+        starts = F.concat(F.array(opened), F.transform(inner, lambda x: x + 1))
+        parts = F.zip_with(starts, F.concat(inner, F.array(at)), lambda a, b: _trip(a, b, b != at))
+        closing = F.when(at == last_end, F.array(_trip(opened, at, F.lit(False)))).otherwise(parts)
+        stray = F.when(state["seen"] & (at <= last_start), F.array(_trip(closed, at, F.lit(True)))).otherwise(nothing)
+        after_end = F.concat(trips, F.when(opened.isNotNull(), closing).otherwise(stray))
+        start = point["start"]
+        return F.struct(
+            F.when(~start & opened.isNotNull(), at).otherwise(closed).alias("closed"),
+            F.when(start, F.when(opens, at).otherwise(opened)).alias("open"),
+            F.when(start & opened.isNotNull(), F.concat(inner, F.array(at))).when(start, inner).otherwise(zero["inner"]).alias("inner"),
+            (state["seen"] | start).alias("seen"),
+            F.when(start, after_start).otherwise(after_end).alias("trips"),
+        )
+
+    return F.aggregate(ends, zero, step, lambda state: state["trips"])
+
+
+def _consecutive(points: Column) -> Column:
+    """Only one kind of end: every trip runs from one point to the next, and the next begins behind it."""
+    n = F.size(points)
+    trip = lambda i: _trip(F.element_at(points, i) + F.when(i == 1, 0).otherwise(1), F.element_at(points, i + 1), F.lit(False))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), trip)).otherwise(F.array().cast(_TRIPS))
 
 
 def pair_trips(closest: DataFrame) -> DataFrame:
-    """Pair start and end points into trips, per vehicle day and shape.
+    """Pair start and end points into trips, per vehicle day and shape: ``trip_num`` from 1, ``first_idx``,
+    ``last_idx``, ``broken``.
 
-    The pairing is sequential, so it runs as a grouped pandas function. A group has one row per tag
-    run, and runs are more than ten minutes apart: at most 288 rows, whatever the ping rate.
+    The pairing is sequential and runs as a fold over the sorted points of a group. A group has one row per tag run,
+    and runs are more than ten minutes apart: at most 288 rows, whatever the ping rate.
     """
-    rows = closest.select("day", F.col("bus").cast("string").alias("bus"), F.col("shape").cast("long").alias("shape"), "kind", "idx")
-    return rows.groupBy("day", "bus", "shape").applyInPandas(_pair_group, _PAIRS)
+    start = F.col("kind") == "FIRST"
+    keys = ["day", F.col("bus").cast("string").alias("bus"), F.col("shape").cast("long").alias("shape")]
+    groups = closest.select(*keys, F.col("idx").cast("long").alias("idx"), start.alias("start")).groupBy("day", "bus", "shape").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "start"))).alias("ends"),
+        F.max(F.when(F.col("start"), F.col("idx"))).alias("last_start"),
+        F.max(F.when(~F.col("start"), F.col("idx"))).alias("last_end"),
+    )
+    both = F.col("last_start").isNotNull() & F.col("last_end").isNotNull()
+    trips = F.when(both, _alternating(F.col("ends"), F.col("last_start"), F.col("last_end"))).otherwise(
+        _consecutive(F.transform("ends", lambda e: e["idx"]))
+    )
+    listed = groups.select("day", "bus", "shape", F.posexplode(trips).alias("n", "trip"))
+    return listed.select("day", "bus", "shape", (F.col("n") + 1).alias("trip_num"), "trip.*")
 
 
 def complementary_shape(shapes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -270,23 +295,36 @@ def choose_shapes(pairs: DataFrame, gps_lines: DataFrame, shapes: DataFrame) ->
     )
 
 
-def _clip_day(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    starts, ends, rows = {}, {}, []  # of a trip number: first start and last end so far
-    for r in part.sort_values(["rank", "shape", "trip_num"]).itertuples(index=False):
-        n, first, last = r.trip_num, r.first_idx, r.last_idx
-        if n - 1 in ends:
-            first = max(first, ends[n - 1] + 1)
-        if n + 1 in starts:
-            last = min(last, starts[n + 1])
-        if n in ends:
-            first = max(first, ends[n] + 1)
-            if first > ends[n] + 1:  # the gap counts as taken
-                ends[n] = first
-        if first < last:
-            rows.append((*key, r.shape, n, first, last, r.broken))
-            starts.setdefault(n, first)
-            ends[n] = last
-    return pd.DataFrame(rows, columns=["day", "bus", "shape", "trip_num", "first_idx", "last_idx", "broken"])
+def _put(values: Column, key: Column, value: Column) -> Column:
+    return F.map_concat(F.map_filter(values, lambda k, _: k != key), F.create_map(key, value))
+
+
+def _clipped(trips: Column) -> Column:
+    """Trips that remain of ``trips``, sorted structs, as a fold; ``starts`` and ``ends`` hold, of a trip number, the
+    first start and the last end so far."""
+    known = "map<int,bigint>"
+    kept = "array<struct<shape:bigint,trip_num:int,first_idx:bigint,last_idx:bigint,broken:boolean>>"
+    zero = F.struct(
+        F.create_map().cast(known).alias("starts"), F.create_map().cast(known).alias("ends"), F.array().cast(kept).alias("trips")
+    )
+
+    def step(state: Column, trip: Column) -> Column:
+        starts, ends, n = state["starts"], state["ends"], trip["trip_num"]
+        own = F.try_element_at(ends, n)
+        # Unknown bounds are null, which neither greatest nor least looks at.
+        first = F.greatest(trip["first_idx"], F.try_element_at(ends, n - 1) + 1, own + 1)
+        last = F.least(trip["last_idx"], F.try_element_at(starts, n + 1))
+        remains = first < last
+        # The gap behind an earlier trip of the number counts as taken.
+        taken = F.when(remains, last).when(own.isNotNull() & (first > own + 1), first)
+        row = F.struct(trip["shape"].alias("shape"), n.alias("trip_num"), first.alias("first_idx"), last.alias("last_idx"), trip["broken"].alias("broken"))
+        return F.struct(
+            F.when(remains & F.try_element_at(starts, n).isNull(), _put(starts, n, first)).otherwise(starts).alias("starts"),
+            F.when(taken.isNotNull(), _put(ends, n, taken)).otherwise(ends).alias("ends"),
+            F.when(remains, F.concat(state["trips"], F.array(row))).otherwise(state["trips"]).alias("trips"),
+        )
+
+    return F.aggregate(trips, zero, step, lambda state: state["trips"])
 
 
 def build_trips(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -294,10 +332,12 @@ def build_trips(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     Shapes are laid down in the order of their rank. A trip starts after the trips of the number before it and after
     those of its own number, and ends no later than the first trip of the next number starts; all three as already
-    clipped. This is sequential, so it runs as a grouped pandas function over the few trips of a vehicle day.
+    clipped. This is sequential, so it runs as a fold over the few trips of a vehicle day.
     """
     rows = pairs.join(chosen, [*VEHICLE, "shape"])
-    clipped = rows.groupBy(*VEHICLE).applyInPandas(_clip_day, _PAIRS)
+    trip = F.struct("rank", "shape", "trip_num", "first_idx", "last_idx", "broken")
+    days = rows.groupBy(*VEHICLE).agg(F.array_sort(F.collect_list(trip)).alias("trips"))
+    clipped = days.select(*VEHICLE, F.inline(_clipped(F.col("trips"))))
     return clipped.select(
         *VEHICLE, "shape", "trip_num", "first_idx", "last_idx",
         F.when(F.col("broken"), TRIP_PROBLEM).otherwise(NO_PROBLEM).alias("problem"),

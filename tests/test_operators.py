@@ -190,10 +190,12 @@ def test_bunching_pairs_take_the_nearest_in_time(spark):
         ([4, 20], [2, 8, 15, 30], [(4, 8, False), (8, 15, True), (20, 30, False)]),
     ],
 )
-def test_trip_pairing(firsts, lasts, want):
-    rows = pd.DataFrame([("FIRST", i) for i in firsts] + [("LAST", i) for i in lasts], columns=["kind", "idx"])
-    out = matching._pair_group((T0.date(), "b", 1), rows)
-    assert list(zip(out["first_idx"], out["last_idx"], out["broken"])) == want
+def test_trip_pairing(spark, firsts, lasts, want):
+    rows = [(T0.date(), "b", 1, "FIRST", i) for i in firsts] + [(T0.date(), "b", 1, "LAST", i) for i in lasts]
+    closest = spark.createDataFrame(rows, "day date, bus string, shape int, kind string, idx long")
+    out = matching.pair_trips(closest).orderBy("trip_num").collect()
+    assert [(r["first_idx"], r["last_idx"], r["broken"]) for r in out] == want
+    assert [r["trip_num"] for r in out] == list(range(1, len(want) + 1))
 
 
 def test_a_vehicle_running_two_trips(spark):
@@ -271,7 +273,7 @@ def test_csv_columns_go_by_name(spark, tmp_path):
 def test_trips_are_clipped_shape_by_shape(spark):
     pairs = [("d", "b", 1, 1, 39, 79, False), ("d", "b", 2, 1, 0, 38, False), ("d", "b", 2, 2, 60, 120, True)]
     pairs = spark.createDataFrame(pairs, "day string, bus string, shape long, trip_num int, first_idx long, last_idx long, broken boolean")
-    pairs = pairs.withColumn("day", F.lit("2024-05-01").cast(matching._PAIRS.split("day ")[1].split(",")[0]))
+    pairs = pairs.withColumn("day", F.lit("2024-05-01").cast("date"))
     chosen = pairs.select("day", "bus", "shape", F.col("shape").cast("int").alias("rank")).distinct()
     got = [tuple(r) for r in matching.build_trips(pairs, chosen).select("shape", "trip_num", "first_idx", "last_idx").collect()]
     assert sorted(got) == [(1, 1, 39, 79), (2, 2, 80, 120)]
