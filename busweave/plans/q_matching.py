@@ -89,18 +89,20 @@ def _(t):
     return out.select(F.col("day").cast("string").alias("day"), "bus", "route", "shape", "threshold_m")
 
 
-# In these tables every start lies near some end, so all shapes are treated as one-way here.
-_CAND = f"""cand AS (
+# In these tables every start lies near some end, so all shapes are treated as one-way in the single steps.
+def _cand(lines):
+    return f"""cand AS (
   SELECT day, bus, shape, idx, ts, es, side, CASE WHEN side = 'START' OR round_trip THEN 'FIRST' ELSE 'LAST' END AS kind,
          CASE WHEN side = 'START' OR round_trip THEN ds ELSE de END AS end_m
   FROM (SELECT *, CASE WHEN ds < threshold_m THEN 'START' WHEN de < threshold_m THEN 'END' END AS side
         FROM (SELECT g.day, g.bus, g.idx, g.ts, g.es, s.shape, s.threshold_m, s.round_trip,
                      round({B.sql_haversine('g.lat', 'g.lon', 's.start_lat', 's.start_lon')}, 3) AS ds,
                      round({B.sql_haversine('g.lat', 'g.lon', 's.end_lat', 's.end_lon')}, 3) AS de
-              FROM gps g JOIN vlines v ON v.day = g.day AND v.bus = g.bus JOIN (SELECT * REPLACE (false AS round_trip) FROM slines) s ON s.route = v.route
+              FROM gps g JOIN vlines v ON v.day = g.day AND v.bus = g.bus JOIN {lines} s ON s.route = v.route
               WHERE g.line_code <> 'REC'))
   WHERE side IS NOT NULL)"""
 
+_ONE_WAY = "wlines AS (SELECT * REPLACE (false AS round_trip) FROM slines)"
 _TAGS = """brk AS (SELECT *, coalesce(es - lag(es) OVER w > 600, true) AS b FROM cand WINDOW w AS (PARTITION BY day, bus, shape ORDER BY idx)),
 brk2 AS (SELECT *, max(CASE WHEN b AND side = 'START' THEN idx END) OVER w AS ls, max(CASE WHEN b AND side = 'END' THEN idx END) OVER w AS le
   FROM brk WINDOW w AS (PARTITION BY day, bus, shape ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -121,7 +123,7 @@ def _candidates(t):
     return M.candidate_points(pings, M.vehicle_lines(pings), checkpointed(_one_way(t), "shape-lines"))
 
 
-_BASE = (_GPS, _LINES, _TRACKS, _SLINES, _CAND)
+_BASE = (_GPS, _LINES, _TRACKS, _SLINES, _ONE_WAY, _cand("wlines"))
 
 
 @query("g01_candidate_points", B.sql(*_BASE, body="SELECT CAST(day AS VARCHAR) AS day, bus, shape, idx, side, kind, end_m FROM cand"))
@@ -144,9 +146,73 @@ def _pairs(t):
     return checkpointed(M.pair_trips(M.closest_per_tag(M.tag_candidates(_candidates(t)))), "pairs")
 
 
-@query("g02_pair_trips")
+# Start points are taken one by one, each looking through the end points that are left.
+_PAIRED = """lists AS (SELECT day, bus, shape, list(idx ORDER BY idx) FILTER (kind = 'FIRST') AS firsts, list(idx ORDER BY idx) FILTER (kind = 'LAST') AS lasts
+  FROM closest GROUP BY day, bus, shape),
+pairing AS (
+  SELECT day, bus, shape, firsts, lasts AS rest, 0::BIGINT AS n, 0::BIGINT AS closed, []::STRUCT(a BIGINT, b BIGINT, broken BOOLEAN)[] AS found
+  FROM lists WHERE firsts IS NOT NULL AND lasts IS NOT NULL
+  UNION ALL
+  SELECT day, bus, shape, firsts, CASE WHEN inside THEN rest ELSE later[2:] END, n + 1, CASE WHEN inside THEN closed ELSE coalesce(later[1], closed) END,
+    CASE WHEN NOT inside THEN found || CASE WHEN n > 0 THEN list_transform(list_filter(rest, lambda e: e <= s), lambda e: {'a': closed, 'b': e, 'broken': true}) ELSE [] END
+           || CASE WHEN len(later) > 0 THEN [{'a': s, 'b': later[1], 'broken': false}] ELSE [] END
+         WHEN len(found) > 0 THEN found[:-2] || [{'a': found[-1].a, 'b': s, 'broken': true}, {'a': s + 1, 'b': found[-1].b, 'broken': false}]
+         ELSE found END
+  FROM (SELECT *, list_filter(rest, lambda e: e > s) AS later FROM
+    (SELECT *, firsts[n + 1] AS s, n > 0 AND firsts[n + 1] <= closed AS inside FROM pairing WHERE n < len(firsts) AND len(rest) > 0))),
+listed AS (
+  SELECT day, bus, shape, arg_max(found, n) AS found FROM pairing GROUP BY day, bus, shape
+  UNION ALL
+  SELECT day, bus, shape, list_transform(range(1, len(p)), lambda i: {'a': p[i] + CASE WHEN i = 1 THEN 0 ELSE 1 END, 'b': p[i + 1], 'broken': false})
+  FROM (SELECT *, coalesce(firsts, lasts) AS p FROM lists WHERE firsts IS NULL OR lasts IS NULL)),
+pairs AS (SELECT day, bus, shape, CAST(u.i AS INTEGER) AS trip_num, found[u.i].a AS first_idx, found[u.i].b AS last_idx, found[u.i].broken AS broken
+  FROM listed, unnest(range(1, len(found) + 1)) u(i))"""
+
+
+def _chosen_sql(lines):
+    near = f"{B.sql_haversine('a.start_lat', 'a.start_lon', 'b.end_lat', 'b.end_lon')} < b.greatest_gap_m AND {B.sql_haversine('a.end_lat', 'a.end_lon', 'b.start_lat', 'b.start_lon')} < b.greatest_gap_m"
+    return f"""routes AS (SELECT route, count(*) AS n_shapes, bool_or(round_trip) AS any_round FROM {lines} GROUP BY route),
+heads AS (SELECT p.day, p.bus, v.route, p.shape, count(*) AS trips, min(first_idx) FILTER (trip_num = 1) AS first, min(last_idx - first_idx) FILTER (trip_num = 1) AS span
+  FROM pairs p JOIN vlines v ON v.day = p.day AND v.bus = p.bus GROUP BY ALL),
+seen AS (SELECT h.*, CASE WHEN NOT any_round AND n_shapes > 2 THEN 'OPPOSITE' WHEN any_round AND n_shapes > 1 THEN 'FIRST' ELSE 'ALL' END AS rule FROM heads h JOIN routes USING (route)),
+early AS (SELECT *, row_number() OVER (PARTITION BY day, bus ORDER BY first, shape) AS place, count(*) OVER (PARTITION BY day, bus) AS others
+  FROM seen WHERE rule = 'OPPOSITE' AND trips > 1),
+winner AS (SELECT day, bus, route, arg_max(shape, (CASE WHEN place = 1 THEN span ELSE span + 0.5 END, place)) AS shape FROM early WHERE place <= 2 AND others >= 2 GROUP BY ALL),
+partner AS (SELECT w.day, w.bus, arg_min(b.shape, (s.first IS NOT NULL, coalesce(s.first, 0), b.shape)) AS shape
+  FROM winner w JOIN {lines} a ON a.shape = w.shape JOIN {lines} b ON b.route = a.route AND {near}
+  LEFT JOIN seen s ON s.day = w.day AND s.bus = w.bus AND s.shape = b.shape GROUP BY ALL),
+rest_of AS (SELECT * FROM seen WHERE rule = 'ALL' UNION ALL SELECT * FROM seen s WHERE rule = 'OPPOSITE' AND NOT EXISTS (SELECT 1 FROM winner w WHERE w.day = s.day AND w.bus = s.bus)),
+chosen AS (SELECT day, bus, shape, 1 AS rank FROM winner UNION ALL SELECT day, bus, shape, 2 FROM partner
+  UNION ALL SELECT day, bus, shape, 1 FROM seen WHERE rule = 'FIRST' QUALIFY row_number() OVER (PARTITION BY day, bus ORDER BY first, span DESC, shape) = 1
+  UNION ALL SELECT day, bus, shape, CAST(row_number() OVER (PARTITION BY day, bus ORDER BY first, shape) AS INTEGER) FROM rest_of)"""
+
+
+# Trips are laid down one by one; ``done`` remembers what each left behind under its number.
+_CLIPPED = """laying AS (SELECT p.*, row_number() OVER (PARTITION BY p.day, p.bus ORDER BY rank, p.shape, trip_num) AS k FROM pairs p JOIN chosen c ON c.day = p.day AND c.bus = p.bus AND c.shape = p.shape),
+laid AS (
+  SELECT day, bus, 0::BIGINT AS k, []::STRUCT(shape BIGINT, n INTEGER, a BIGINT, b BIGINT, broken BOOLEAN, kept BOOLEAN, taken BIGINT)[] AS done FROM (SELECT DISTINCT day, bus FROM laying)
+  UNION ALL
+  SELECT day, bus, k, done || [{'shape': shape, 'n': n, 'a': a, 'b': b, 'broken': broken, 'kept': a < b, 'taken': CASE WHEN a < b THEN b WHEN a > own + 1 THEN a END}]
+  FROM (SELECT *, greatest(first_idx, before + 1, own + 1) AS a, least(last_idx, list_filter(done, lambda d: d.n = trip_num + 1 AND d.kept)[1].a) AS b
+    FROM (SELECT l.day, l.bus, t.k, l.done, t.shape, t.trip_num, t.trip_num AS n, t.first_idx, t.last_idx, t.broken,
+            list_filter(l.done, lambda d: d.n = t.trip_num AND d.taken IS NOT NULL)[-1].taken AS own,
+            list_filter(l.done, lambda d: d.n = t.trip_num - 1 AND d.taken IS NOT NULL)[-1].taken AS before
+          FROM laid l JOIN laying t ON t.day = l.day AND t.bus = l.bus AND t.k = l.k + 1))),
+trips AS (SELECT day, bus, d.shape AS shape, d.n AS trip_num, d.a AS first_idx, d.b AS last_idx, CASE WHEN d.broken THEN 'TRIP_PROBLEM' ELSE 'NO_PROBLEM' END AS problem
+  FROM (SELECT day, bus, unnest(done) AS d FROM laid WHERE (day, bus, k) IN (SELECT day, bus, max(k) FROM laid GROUP BY day, bus)) WHERE d.kept)"""
+
+
+def _recursive(*views, body):
+    return B.sql(*views, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ONE_WAY_PAIRS = (*_BASE, _TAGS, _RUNS, _PAIRED)
+_KEY = "CAST(day AS VARCHAR) AS day, CAST(bus AS VARCHAR) AS bus"
+
+
+@query("g02_pair_trips", _recursive(*_ONE_WAY_PAIRS, body=f"SELECT {_KEY}, shape, trip_num, first_idx, last_idx, broken FROM pairs"))
 def _(t):
-    return _pairs(t)
+    return _pairs(t).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -168,9 +234,9 @@ def _(t):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
-@query("g03_choose_shapes")
+@query("g03_choose_shapes", _recursive(*_ONE_WAY_PAIRS, _chosen_sql("wlines"), body=f"SELECT {_KEY}, shape, rank FROM chosen"))
 def _(t):
-    return _chosen(t, _pairs(t))
+    return _chosen(t, _pairs(t)).withColumn("day", F.col("day").cast("string"))
 
 
 def _chosen(t, pairs):
@@ -183,9 +249,12 @@ def _trips(t):
     return M.build_trips(pairs, checkpointed(_chosen(t, pairs), "chosen"))
 
 
-@query("g04_build_trips")
+@query(
+    "g04_build_trips",
+    _recursive(*_ONE_WAY_PAIRS, _chosen_sql("wlines"), _CLIPPED, body=f"SELECT {_KEY}, shape, trip_num, first_idx, last_idx, problem FROM trips"),
+)
 def _(t):
-    return _trips(t)
+    return _trips(t).withColumn("day", F.col("day").cast("string"))
 
 
 # Trips given by plain SQL, so the range join itself can be checked: one trip per 20 pings, 15 long.
@@ -230,10 +299,28 @@ def _(t):
     return out.select("gps_id", "trip_num", "trip_problem")
 
 
-@query("g06_matched_pings")
+_NEAR = f"round({B.sql_haversine('p.lat', 'p.lon', 'h.lat', 'h.lon')}, 3)"
+_MATCHED = f"""assigned AS (SELECT g.day, g.bus, g.idx, any_value(g.gps_id) AS gps_id, any_value(g.ts) AS ts, any_value(g.lat) AS lat, any_value(g.lon) AS lon,
+    min((t.trip_num, t.first_idx, t.shape, t.problem)) FILTER (t.trip_num IS NOT NULL) AS t
+  FROM gps g LEFT JOIN trips t ON t.day = g.day AND t.bus = g.bus AND g.idx BETWEEN t.first_idx AND t.last_idx GROUP BY g.day, g.bus, g.idx),
+numbered AS (SELECT a.* EXCLUDE (t), t[1] AS own_num, t[3] AS shape, t[4] AS own_problem, EXISTS (SELECT 1 FROM trips x WHERE x.day = a.day AND x.bus = a.bus) AS any_trip FROM assigned a),
+labelled AS (SELECT *, CASE WHEN any_trip THEN coalesce(own_num, last_value(own_num IGNORE NULLS) OVER (PARTITION BY day, bus ORDER BY idx ROWS UNBOUNDED PRECEDING), 1) END AS trip_num,
+    coalesce(own_problem, CASE WHEN any_trip THEN 'OUTLIER_POINT' ELSE 'NO_SHAPE' END) AS trip_problem FROM numbered),
+located AS (SELECT p.day, p.bus, p.idx, arg_min(h.seq, ({_NEAR}, -h.seq)) AS shape_seq, min({_NEAR}) AS distance_m FROM labelled p JOIN tracks h ON h.shape = p.shape GROUP BY ALL),
+matched AS (SELECT l.day, l.bus, l.idx, gps_id, ts, trip_num, shape, shape_seq, distance_m,
+    CASE WHEN trip_problem <> 'NO_PROBLEM' THEN trip_problem WHEN distance_m > threshold_m THEN 'OUTLIER_POINT' ELSE 'NO_PROBLEM' END AS problem
+  FROM labelled l LEFT JOIN located n ON n.day = l.day AND n.bus = l.bus AND n.idx = l.idx LEFT JOIN (SELECT shape, threshold_m FROM slines) USING (shape))"""
+_ALL_TRIPS = (_GPS, _LINES, _TRACKS, _SLINES, _cand("slines"), _TAGS, _RUNS, _PAIRED, _chosen_sql("slines"), _CLIPPED, _MATCHED)
+
+
+@query(
+    "g06_matched_pings",
+    _recursive(*_ALL_TRIPS, body="SELECT CAST(day AS VARCHAR) AS day, bus, idx, gps_id, trip_num, shape, shape_seq, distance_m, problem FROM matched"),
+)
 def _(t):
     matched, _ = match_trips(gps(t), checkpointed(tracks(t), "tracks"))
-    return matched.select("day", "bus", "idx", "gps_id", "trip_num", "shape", "shape_seq", "distance_m", "problem")
+    out = matched.select("day", "bus", "idx", "gps_id", "trip_num", "shape", "shape_seq", "distance_m", "problem")
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
 _LATEST = """SELECT bus, shape, k AS seq, max_by(event_id, (ts, event_id)) AS event_id FROM pings GROUP BY 1, 2, 3"""
@@ -249,24 +336,59 @@ def _stops(t):
     return t.orders.select((F.col("o_custkey") % 12).alias("shape"), (F.col("o_orderkey") % 3000 + 1).alias("seq")).distinct()
 
 
-@query("j02_trips_shapes_stops")
+_TRIP_STOPS = """stop_list AS (SELECT DISTINCT o_custkey % 12 AS shape, o_orderkey % 3000 + 1 AS seq FROM orders),
+latest AS (SELECT m.day, m.bus, m.trip_num, m.shape, m.shape_seq AS seq, h.dist, epoch_us(m.ts) // 1000 AS at_ms, m.problem FROM matched m JOIN tracks h ON h.shape = m.shape AND h.seq = m.shape_seq
+  QUALIFY row_number() OVER (PARTITION BY m.day, m.bus, m.trip_num, m.shape, m.shape_seq ORDER BY m.ts DESC, m.gps_id DESC) = 1),
+on_trip AS (SELECT day, bus, trip_num, shape, seq, max(dist) AS dist, max(at_ms) AS at_ms, max(problem) AS problem, bool_or(is_stop) AS is_stop
+  FROM (SELECT *, false AS is_stop FROM latest UNION ALL
+    SELECT k.*, h.seq, h.dist, NULL, NULL, true FROM (SELECT DISTINCT day, bus, trip_num, shape FROM latest) k JOIN stop_list s ON s.shape = k.shape JOIN tracks h ON h.shape = s.shape AND h.seq = s.seq)
+  GROUP BY ALL)"""
+_VISITED = """around AS (SELECT *, last_value(CASE WHEN at_ms IS NOT NULL THEN {'d': dist, 't': at_ms} END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS p,
+    first_value(CASE WHEN at_ms IS NOT NULL THEN {'d': dist, 't': at_ms} END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
+  FROM on_trip WINDOW w AS (PARTITION BY day, bus, trip_num, shape ORDER BY seq)),
+timed AS (SELECT *, coalesce(at_ms, CASE WHEN n.d <> p.d THEN p.t + CAST(trunc((dist - p.d) * (n.t - p.t) / (n.d - p.d)) AS BIGINT) END) AS est_ms FROM around),
+visited AS (SELECT day, bus, trip_num, shape, seq, dist, est_ms, CASE WHEN at_ms IS NULL THEN 'BETWEEN' ELSE problem END AS problem FROM timed WHERE is_stop AND est_ms IS NOT NULL)"""
+
+
+@query(
+    "j02_trips_shapes_stops",
+    _recursive(*_ALL_TRIPS, _TRIP_STOPS, body="SELECT CAST(day AS VARCHAR) AS day, bus, trip_num, shape, seq, dist, at_ms, problem, is_stop FROM on_trip"),
+)
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
     matched, _ = match_trips(gps(t), shapes)
     latest = M.latest_per_shape_point(matched.where("shape_seq IS NOT NULL"))
-    return M.trips_shapes_stops(latest, shapes, _stops(t))
+    return M.trips_shapes_stops(latest, shapes, _stops(t)).withColumn("day", F.col("day").cast("string"))
 
 
-@query("w05_stop_visits")
+@query(
+    "w05_stop_visits",
+    _recursive(*_ALL_TRIPS, _TRIP_STOPS, _VISITED, body="SELECT CAST(day AS VARCHAR) AS day, bus, trip_num, shape, seq, dist, problem, est_ms FROM visited"),
+)
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
     matched, _ = match_trips(gps(t), shapes)
-    return stop_visits(matched, shapes, _stops(t))
+    out = stop_visits(matched, shapes, _stops(t)).withColumns({"day": F.col("day").cast("string"), "est_ms": F.unix_millis("ts")})
+    return out.drop("ts")
+
 
+_NEXT = """paired AS (SELECT v.*, route, est_ms // 1000 AS s, lead(est_ms // 1000) OVER w AS s2, lead(bus) OVER w AS bus2 FROM visited v JOIN (SELECT DISTINCT shape, route FROM tracks) USING (shape)
+  WINDOW w AS (PARTITION BY day, route, shape, seq ORDER BY est_ms, bus))"""
 
-@query("w02_labelled_visits")
+
+@query(
+    "w02_labelled_visits",
+    _recursive(
+        *_ALL_TRIPS,
+        _TRIP_STOPS,
+        _VISITED,
+        _NEXT,
+        body=f"""SELECT CAST(day AS VARCHAR) AS day, route, shape, seq, bus, bus2 AS next_bus, {B.sql_minutes('s', 's2')} AS headway_min, {B.sql_minutes('s', 's2')} <= 5 AS bunched
+        FROM paired WHERE s2 IS NOT NULL AND bus <> bus2""",
+    ),
+)
 def _(t):
     shapes = checkpointed(tracks(t), "tracks")
     routes = shapes.select("shape", "route").distinct()
-    out = labelled_visits(gps(t), shapes, _stops(t), routes)
+    out = labelled_visits(gps(t), shapes, _stops(t), routes).withColumn("day", F.col("day").cast("string"))
     return out.select("day", "route", "shape", "seq", "bus", F.col("sb.bus").alias("next_bus"), "headway_min", "bunched")
