@@ -10,6 +10,7 @@ from busweave.session import scratch_dir
 from busweave.sources import readers as R
 from busweave.sources import writers as W
 from busweave.streaming import feeds as ST
+from busweave.streaming.versions import read_by_day, upsert_by_day
 
 _ORDER = "o_orderkey bigint, o_custkey bigint, o_orderpriority string"
 
@@ -240,6 +241,18 @@ def _(t):
     return ST.read_upserted(t.spark, "user_id", "ts", target, tie="event_id").select("user_id", "event_id", "event_type")
 
 
+@query(
+    "t02_upsert_by_day",
+    """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type
+    FROM events GROUP BY 1, 2""",
+)
+def _(t):
+    target, mark = scratch_dir(t.spark, "by-day"), scratch_dir(t.spark, "by-day-mark")
+    upsert_by_day(_feed(t), "user_id", "ts", target, mark, tie="event_id").awaitTermination()
+    out = read_by_day(t.spark, target).withColumn("day", F.col("day").cast("string"))
+    return out.select("user_id", "day", "event_id", "event_type")
+
+
 @query("t02_distinct_stream", "SELECT event_id, user_id FROM events")
 def _(t):
     target, mark = scratch_dir(t.spark, "distinct"), scratch_dir(t.spark, "distinct-mark")
