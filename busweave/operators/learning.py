@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busweave.operators.features import row_hash
+from busweave.operators.forward import walk_forward_ols
 from busweave.operators.profile import error_weights
+from busweave.session import checkpointed
 
 SEED = 42
 
@@ -147,27 +149,49 @@ def sweep(df: DataFrame, cols: Sequence[str], label: str, kind: str, param: str,
     return df.sparkSession.createDataFrame([(v, s, i == best) for i, (v, s) in enumerate(rows)], f"{param} double, score double, best boolean")
 
 
-def stack(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str], train: str | None = None) -> DataFrame:
-    """Each learner sees the features and the predictions of the learners before it."""
-    out, inputs = df, list(cols)
+def stack(
+    df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str], key: str, train: str | None = None, folds: int = 3, params: dict | None = None
+) -> DataFrame:
+    """``df`` with ``pred_<kind>`` per learner; each sees the features and the predictions of the learners before it.
+
+    Training rows (those where ``train`` holds, else all) are dealt to folds by a hash of ``key``, and a row's
+    predictions come from models fitted to the other folds, so that no input of a later learner comes from a model
+    that saw the row. The other rows are predicted by models of all training rows. Rows of equal key share a fold, null
+    keys too; ``train`` is false where it is null.
+    """
+    params, own = params or {}, [c for c in df.columns if not c.startswith("pred_")]
+    fold = F.coalesce(row_hash(key) % folds, F.lit(0))
+    trains = F.coalesce(F.expr(train).cast("boolean"), F.lit(False)) if train else F.lit(True)
+    out = checkpointed(df.select(*own, F.when(trains, fold).alias("__fold")), "stack")
+    inputs = list(cols)
     for kind in kinds:
-        fit_on = out.where(train) if train else out
-        model = fit_classifier(fit_on, inputs, label, kind)
-        scored = model.transform(out.drop("label") if label != "label" else out.withColumnRenamed("label", "__y").drop("label"))
-        if label == "label":
-            scored = scored.withColumnRenamed("__y", "label")
-        name = f"pred_{kind}"
-        out = scored.select(*out.columns, F.col("prediction").alias(name))
+        name, parts = f"pred_{kind}", []
+        learn = lambda rows: fit_classifier(rows, inputs, label, kind, **params.get(kind, {}))  # noqa: B023, E731
+        for f in range(folds):
+            asked = out.where(F.col("__fold") == f)
+            if not asked.isEmpty():
+                parts.append(_predicted(learn(out.where(F.col("__fold") != f)), asked, name))
+        if train:
+            parts.append(_predicted(learn(out.where("__fold IS NOT NULL")), out.where("__fold IS NULL"), name))
+        out = checkpointed(reduce(DataFrame.unionByName, parts), "stack")
         inputs.append(name)
-    return out
+    return out.drop("__fold")
+
 
+def _predicted(model, df: DataFrame, name: str) -> DataFrame:
+    """Rows with the model's prediction, the label column kept."""
+    return model.transform(df).select(*df.columns, F.col("prediction").alias(name))
 
-def boost_by_errors(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str]) -> DataFrame:
-    """Each learner sees the predictions of those before it and is weighted by the last one's errors."""
+
+def boost_by_errors(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str], train: str | None = None) -> DataFrame:
+    """Each learner sees the predictions of those before it and is weighted by the last one's errors.
+
+    Learners are fitted to the rows where ``train`` holds, else to all; every row is predicted.
+    """
     out, weight, inputs = df, None, list(cols)
     for kind in kinds:
         params = {"weightCol": "weight"} if weight else {}
-        model = fit_classifier(out, list(inputs), label, kind, **params)
+        model = fit_classifier(out.where(train) if train else out, list(inputs), label, kind, **params)
         name = f"pred_{kind}"
         inputs.append(name)
         keep = [c for c in out.columns if c != "weight"]
@@ -239,7 +263,12 @@ def recursive_forecast(df: DataFrame, history: str, coefficients: Sequence[float
 
 
 def walk_forward(df: DataFrame, cols: Sequence[str], label: str, origin: str, origins: Sequence, kind: str = "ols") -> DataFrame:
-    """Refit before each of a few origins on all rows before it, predict the rows of that origin."""
+    """Refit before each origin on all rows before it, predict the rows of that origin.
+
+    Least squares take one pass for all origins; other kinds are fitted anew before each of a few.
+    """
+    if kind == "ols":
+        return walk_forward_ols(df, cols, label, origin, origins)
     out = None
     ordered = list(origins)
     for i, o in enumerate(ordered):

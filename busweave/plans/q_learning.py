@@ -8,7 +8,9 @@ from busweave.operators import continued as C
 from busweave.operators import learning as L
 from busweave.operators import neighbours as N
 from busweave.operators import profile as P
+from busweave.operators.adaboost import fit_adaboost, predict_adaboost
 from busweave.operators.features import split
+from busweave.operators.forward import origin_models
 from busweave.operators.series import sliding_frame
 from busweave.operators.ordered import hours
 from busweave.plans import bindings as B
@@ -87,6 +89,36 @@ for _kind in L.CLASSIFIERS:
     query(f"m12_classifier_{_kind}")(_classifier(_kind))
 
 
+@query("m12_adaboost")
+def _(t):
+    rows = split(_rows(t), "row_id", 0.8)
+    vote = fit_adaboost(rows.where("is_train"), ["price", "discount", "tax"], "y", rounds=5)
+    return _metrics(predict_adaboost(vote, rows.where("NOT is_train"), "adaboost"), "y", "adaboost")
+
+
+# With one feature of two values a stump gives each value its weightier label: four weights say everything.
+_BOOST_ROUNDS, _BOOST_RATE = 4, 0.5
+
+
+@query(
+    "m12_adaboost_rounds",
+    f"""WITH RECURSIVE r AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS x, CAST(l_quantity + CASE WHEN l_returnflag = 'R' THEN 12 ELSE 0 END > 25 AS INTEGER) AS y FROM lineitem),
+    c AS (SELECT x, count(*) FILTER (y = 0)::DOUBLE AS w0, count(*) FILTER (y = 1)::DOUBLE AS w1 FROM r GROUP BY x),
+    s AS (SELECT 0 AS round, max(w0) FILTER (x = 0) AS a0, max(w1) FILTER (x = 0) AS a1, max(w0) FILTER (x = 1) AS b0, max(w1) FILTER (x = 1) AS b1, NULL::DOUBLE AS err, NULL::DOUBLE AS alpha FROM c
+      UNION ALL SELECT round + 1, CASE WHEN a0 < a1 THEN a0 * exp(alpha) ELSE a0 END, CASE WHEN a1 <= a0 THEN a1 * exp(alpha) ELSE a1 END,
+        CASE WHEN b0 < b1 THEN b0 * exp(alpha) ELSE b0 END, CASE WHEN b1 <= b0 THEN b1 * exp(alpha) ELSE b1 END, err, alpha
+      FROM (SELECT round, a0, a1, b0, b1, (least(a0, a1) + least(b0, b1)) / (a0 + a1 + b0 + b1) AS err,
+              {_BOOST_RATE}::DOUBLE * ln(1 / ((least(a0, a1) + least(b0, b1)) / (a0 + a1 + b0 + b1)) - 1) AS alpha FROM s WHERE round < {_BOOST_ROUNDS}))
+    SELECT round, round(err, 6) AS err, round(alpha, 6) AS alpha FROM s WHERE round > 0""",
+)
+def _(t):
+    returned = F.col("l_returnflag") == "R"
+    rows = t.lineitem.select(returned.cast("int").alias("x"), (F.col("l_quantity") + F.when(returned, 12).otherwise(0) > 25).cast("int").alias("y"))
+    vote = fit_adaboost(rows, ["x"], "y", rounds=_BOOST_ROUNDS, rate=_BOOST_RATE)
+    measured = [(i, round(e, 6), round(a, 6)) for i, (e, a) in enumerate(zip(vote.errors, vote.alphas), 1)]
+    return t.spark.createDataFrame(measured, "round int, err double, alpha double")
+
+
 def _regressor(kind):
     def build(t):
         rows = split(_rows(t), "row_id", 0.8)
@@ -136,10 +168,9 @@ def _(t):
 
 @query("m13_fit_slices")
 def _(t):
-    rows = L.hash_fold(_rows(t), "row_id", 9)
-    slices = [rows.where("fold < 5"), rows.where("fold IN (5, 6)"), rows.where("fold IN (7, 8)")]
+    slices, held_out = _slices(_rows(t))
     models = L.fit_slices(slices, ["price", "discount", "tax"], "y", "tree")
-    return _metrics(L.predict_slices(models, rows), "y", "prediction")
+    return _metrics(L.predict_slices(models, held_out), "y", "prediction")
 
 
 def _slices(rows):
@@ -191,14 +222,15 @@ def _(t):
 @query("m16_stack")
 def _(t):
     rows = split(_rows(t).drop("label"), "row_id", 0.8)
-    out = L.stack(rows, ["price", "discount", "tax"], "y", ["random_forest", "tree", "logistic"], train="is_train")
+    out = L.stack(rows, ["price", "discount", "tax"], "y", ["random_forest", "tree", "logistic"], "row_id", train="is_train")
     return _metrics(out.where("NOT is_train"), "y", "pred_logistic")
 
 
 @query("m17_boost_by_errors")
 def _(t):
-    out = L.boost_by_errors(_rows(t).drop("label"), ["price", "discount", "tax"], "y", ["tree", "random_forest", "logistic"])
-    return _metrics(out, "y", "pred_logistic")
+    rows = split(_rows(t).drop("label"), "row_id", 0.8)
+    out = L.boost_by_errors(rows, ["price", "discount", "tax"], "y", ["tree", "random_forest", "logistic"], train="is_train")
+    return _metrics(out.where("NOT is_train"), "y", "pred_logistic")
 
 
 @query("m19_fit_steps")
@@ -206,8 +238,9 @@ def _(t):
     rows = _rows(t).drop("label")
     steps = [f"step_{k}" for k in range(11)]
     rows = rows.withColumns({s: (F.col("quantity") > 4 * (k + 1)).cast("int") for k, s in enumerate(steps)})
-    models = L.fit_steps(rows, ["price", "discount", "tax"], steps, "tree", maxDepth=3)
-    out = L.predict_steps(models, rows)
+    rows = split(rows, "row_id", 0.8)
+    models = L.fit_steps(rows.where("is_train"), ["price", "discount", "tax"], steps, "tree", maxDepth=3)
+    out = L.predict_steps(models, rows.where("NOT is_train"))
     return out.agg(*[F.avg((F.col(s) == F.col(f"pred_{s}")).cast("int")).alias(f"accuracy_{s}") for s in steps])
 
 
@@ -225,12 +258,51 @@ def _(t):
     return out.select("event_id", *[F.round(F.col("forecast")[i], 6).alias(f"p{i + 1}") for i in range(3)])
 
 
-@query("m23_walk_forward")
+def _three(a):
+    """Determinant of three rows of three SQL expressions."""
+    return " + ".join(
+        f"{sign}({a[0][i]}) * (({a[1][j]}) * ({a[2][k]}) - ({a[1][k]}) * ({a[2][j]}))" for i, j, k, sign in ((0, 1, 2, ""), (1, 0, 2, "-"), (2, 0, 1, ""))
+    )
+
+
+def _fits_sql(origins):
+    """Least squares of quantity on price, discount and tax before each origin, by Cramer's rule on covariances."""
+    x = ("price", "discount", "tax")
+    named = ", ".join(f"covar_pop({a}, {b}) AS s{i}{j}" for i, a in enumerate(x) for j, b in enumerate((*x, "quantity")))
+    s = [[f"s{i}{j}" for j in range(3)] for i in range(3)]
+    swapped = [[[f"s{i}3" if j == k else s[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    slopes = ", ".join(f"({_three(swapped[k])}) / ({_three(s)}) AS b{k}" for k in range(3))
+    values = ", ".join(f"({i}, '{o}')" for i, o in enumerate(origins, 1))
+    return f"""origins AS (SELECT * FROM (VALUES {values}) v(k, o)),
+    moments AS (SELECT k, count(*) AS n, avg(quantity) AS my, avg(price) AS m0, avg(discount) AS m1, avg(tax) AS m2, {named}
+      FROM origins JOIN features ON strftime(ts, '%Y-%m-%d') < o GROUP BY k),
+    fits AS (SELECT *, my - b0 * m0 - b1 * m1 - b2 * m2 AS b FROM (SELECT k, n, my, m0, m1, m2, {slopes} FROM moments)),
+    predicted AS (SELECT f.quantity, b + b0 * price + b1 * discount + b2 * tax AS prediction
+      FROM (SELECT *, (SELECT max(k) FROM origins WHERE o <= strftime(features.ts, '%Y-%m-%d')) AS k FROM features) f JOIN fits USING (k))"""
+
+
+_ORIGINS = ["1997-01-01", "1999-01-01"]
+_MANY_ORIGINS = [f"{year}-{month:02d}-01" for year in range(1996, 2001) for month in (1, 4, 7, 10)]
+_ROUNDED = "round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(1 - sum(e * e) / (var_pop(quantity) * count(*)), 6) AS r2"
+
+
+@query("m23_walk_forward", B.sql(B.FEATURES, _fits_sql(_ORIGINS), body=f"SELECT {_ROUNDED} FROM (SELECT *, quantity - prediction AS e FROM predicted)"))
+def _(t):
+    rows = _rows(t).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = L.walk_forward(rows, ["price", "discount", "tax"], "quantity", "day", _ORIGINS)
+    scores = P.regression_metrics(out, "quantity", "prediction")
+    return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
+
+
+@query(
+    "m23_origin_models",
+    B.sql(B.FEATURES, _fits_sql(_MANY_ORIGINS), body="SELECT k AS stretch, n AS rows, round(b, 6) AS intercept, round(b0 * 1e6, 6) AS price, round(b1, 6) AS discount, round(b2, 6) AS tax FROM fits"),
+)
 def _(t):
-    origins = ["1997-01-01", "1999-01-01"]
     rows = _rows(t).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    out = L.walk_forward(rows, ["price", "discount", "tax"], "quantity", "day", origins)
-    return P.regression_metrics(out, "quantity", "prediction")
+    models = origin_models(rows, ["price", "discount", "tax"], "quantity", "day", _MANY_ORIGINS)
+    weight = lambda i: F.col("coefficients")[i]
+    return models.select("stretch", "rows", F.round("intercept", 6).alias("intercept"), F.round(weight(0) * 1e6, 6).alias("price"), F.round(weight(1), 6).alias("discount"), F.round(weight(2), 6).alias("tax"))
 
 
 @query("m26_importances")
