@@ -3,10 +3,11 @@
 A plain window sends every row of one key to one task. Here each key is cut into slices by a
 function of the ordering column (an hour, a day, a block of sequence numbers). A window runs inside
 ``(key, slice)``; one summary row per slice then carries values across slice borders, so the only
-window over a whole key sees slices, not rows. The summary join uses the partitioning the window
-already has, so the wide side is shuffled once.
+window over a whole key sees slices, not rows. Window, summary and join go by the same columns, in
+which null keys are filled and marked, so that the wide side is shuffled once and null is a key like
+any other.
 
-``slice_by`` must not decrease when the first ordering column grows. Keys must not be null.
+``slice_by`` must not decrease when the first ordering column grows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = "__slice"
 _FIRST_SLICE = -(2**63)
@@ -110,25 +112,44 @@ def next_seen(value: Column, inclusive: bool = True) -> Carry:
     )
 
 
+def _filled(key: Column, kind: T.DataType) -> Column:
+    """``key`` with a value of its type for null; a struct around it where no such value is at hand."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(key, F.lit(""))
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(key, F.lit(False))
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(key, F.lit(0).cast(kind))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(key, F.lit("1970-01-01").cast(kind))
+    return F.struct(key)
+
+
 def over_slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, **values: Carry
 ) -> DataFrame:
     """Add one column per entry of ``values``, ordered by ``order`` (a full tie-break) in each key."""
     keys, order = list(keys), list(order)
-    sliced = df.withColumn(SLICE, F.coalesce(slice_by.cast("long"), F.lit(_FIRST_SLICE)))
-    asc = Window.partitionBy(*keys, SLICE).orderBy(*[F.col(c).asc() for c in order])
-    desc = Window.partitionBy(*keys, SLICE).orderBy(*[F.col(c).desc() for c in order])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)], F.lit(0))
+    parts = [f"__k_{k}" for k in keys] + (["__k_nulls"] if keys else [])
+    sliced = df.withColumns(
+        {
+            SLICE: F.coalesce(slice_by.cast("long"), F.lit(_FIRST_SLICE)),
+            **{f"__k_{k}": _filled(F.col(k), kinds[k]) for k in keys},
+            **({"__k_nulls": nulls} if keys else {}),
+        }
+    )
+    asc = Window.partitionBy(*parts, SLICE).orderBy(*[F.col(c).asc() for c in order])
+    desc = Window.partitionBy(*parts, SLICE).orderBy(*[F.col(c).desc() for c in order])
     local = sliced.withColumns({f"__in_{n}": v.local(asc, desc) for n, v in values.items()})
 
-    summary = sliced.groupBy(*keys, SLICE).agg(*[v.summary(order).alias(f"__s_{n}") for n, v in values.items()])
-    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    summary = sliced.groupBy(*parts, SLICE).agg(*[v.summary(order).alias(f"__s_{n}") for n, v in values.items()])
+    slices = Window.partitionBy(*parts).orderBy(SLICE)
     carried = summary.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(SLICE).alias("__k_slice"),
-        *[v.carried(slices, F.col(f"__s_{n}")).alias(f"__out_{n}") for n, v in values.items()],
+        *parts, SLICE, *[v.carried(slices, F.col(f"__s_{n}")).alias(f"__out_{n}") for n, v in values.items()]
     )
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col(SLICE) == F.col("__k_slice")]
-    joined = local.join(carried, reduce(lambda a, b: a & b, on), "left")
+    joined = local.join(carried, [*parts, SLICE], "left")
     return joined.select(
         *[F.col(c) for c in df.columns if c not in values],
         *[v.merge(F.col(f"__in_{n}"), F.col(f"__out_{n}")).alias(n) for n, v in values.items()],
