@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busweave.operators.ordered import look_around, over_slices, position
 from busweave.operators.quantiles import RANGE, exact_quantiles, ranged
+from busweave.session import checkpointed
 
 
 def fill_missing(df: DataFrame, fills: dict[str, str | float | int]) -> DataFrame:
@@ -60,6 +63,14 @@ def known_values(df: DataFrame, cols: Sequence[str], limit: int = 1000) -> dict[
     return out
 
 
+def _codes(df: DataFrame, c: str) -> DataFrame:
+    """``__v_<c>, __code_<c>``: rank of each distinct value of the column among all of them, from 0."""
+    distinct = ranged(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], "label-values")
+    return over_slices(distinct, [], [c], F.col(RANGE), __code=position()).select(
+        F.col(c).alias(f"__v_{c}"), (F.col("__code") - 1).alias(f"__code_{c}")
+    )
+
+
 def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by the rank of its value among the sorted distinct values.
 
@@ -68,15 +79,38 @@ def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     out = df
     for c in cols:
-        distinct = ranged(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], "label-values")
-        coded = over_slices(distinct, [], [c], F.col(RANGE), __code=position()).select(
-            F.col(c).alias(f"__v_{c}"), (F.col("__code") - 1).alias(f"__code_{c}")
-        )
-        out = out.join(coded, F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
+        out = out.join(_codes(df, c), F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
         out = out.withColumn(c, F.col(f"__code_{c}")).drop(f"__code_{c}")
     return out.select(*df.columns)
 
 
+def one_hot_vector(df: DataFrame, cols: Sequence[str], out: str = "one_hot") -> tuple[DataFrame, DataFrame]:
+    """``df`` with a sparse vector in place of ``cols``, and its slots ``(slot, column, value)``.
+
+    Each column has a slot per distinct value, in order; columns follow each other. Null sets no slot. There may be
+    any number of values: they stay in tables, a row's vector holds a number per column, and only the number of
+    values of each column reaches the driver.
+    """
+    rows, slots, size, filled = df, None, 0, []
+    for c in cols:
+        codes = checkpointed(_codes(df, c), "codes")
+        n = codes.count()
+        listed = codes.select((F.col(f"__code_{c}") + size).alias("slot"), F.lit(c).alias("column"), F.col(f"__v_{c}").cast("string").alias("value"))
+        slots = listed if slots is None else slots.unionByName(listed)
+        # Null takes the code behind the last one, which the encoder leaves out.
+        nominal = {"ml_attr": {"type": "nominal", "name": f"__i_{c}", "num_vals": n + 1}}
+        code = F.coalesce(F.col(f"__code_{c}"), F.lit(n)).cast("double").alias(f"__i_{c}", metadata=nominal)
+        rows = rows.join(codes, F.col(c) == F.col(f"__v_{c}"), "left").select(*rows.columns, code)
+        size += n
+        filled += [c] if n else []
+    kept = [c for c in df.columns if c not in {*cols, out}]
+    if not filled:  # columns of nulls only have no slot
+        return rows.select(*kept, array_to_vector(F.array().cast("array<double>")).alias(out)), slots
+    encoder = OneHotEncoder(inputCols=[f"__i_{c}" for c in filled], outputCols=[f"__h_{c}" for c in filled], dropLast=True)
+    whole = VectorAssembler(inputCols=[f"__h_{c}" for c in filled], outputCol="__hot").transform(encoder.fit(rows).transform(rows))
+    return whole.select(*kept, F.col("__hot").alias(out)), slots
+
+
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Scale to [0, 1]; a constant column becomes 0. The bounds, one row, are constants of the second pass."""
     bounds = df.agg(

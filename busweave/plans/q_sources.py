@@ -30,6 +30,14 @@ def _(t):
     return out.select("event_id", "user_id", F.col("day").cast("string").alias("day"))
 
 
+@query("s03_day_folders", "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'")
+def _(t):
+    path = scratch_dir(t.spark, "day-folders")
+    W.write_by_day(t.events.select("event_id", "user_id", "ts"), path, "ts")
+    out = R.read_day_folders(t.spark, path, "event_id bigint, user_id bigint, ts string").where("day >= '2024-01-20'")
+    return out.select("event_id", "user_id", F.col("day").cast("string").alias("day"))
+
+
 @query("k02_by_month", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
 def _(t):
     path = scratch_dir(t.spark, "months")

@@ -51,6 +51,22 @@ def _(t):
     return FE.one_hot(rows, FE.known_values(rows, ["rflag", "lstatus"]))
 
 
+@query(
+    "m02_one_hot_vector",
+    B.sql(
+        B.FEATURES,
+        """p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS slot FROM (SELECT DISTINCT CAST(pk AS VARCHAR) AS value FROM features)),
+        s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 + (SELECT count(*) FROM p) AS slot FROM (SELECT DISTINCT CAST(sk AS VARCHAR) AS value FROM features))""",
+        body="SELECT row_id, p.slot AS part_slot, s.slot AS supplier_slot FROM features JOIN p ON p.value = CAST(pk AS VARCHAR) JOIN s ON s.value = CAST(sk AS VARCHAR)",
+    ),
+)
+def _(t):
+    rows = B.features(t).select("row_id", F.col("pk").cast("string").alias("part"), F.col("sk").cast("string").alias("supplier"))
+    out, _ = FE.one_hot_vector(rows, ["part", "supplier"])
+    hot = F.unwrap_udt("one_hot")["indices"]
+    return out.select("row_id", hot[0].cast("long").alias("part_slot"), hot[1].cast("long").alias("supplier_slot"))
+
+
 @query(
     "m03_label_codes",
     B.sql(

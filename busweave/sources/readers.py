@@ -49,6 +49,16 @@ def read_days(spark: SparkSession, glob: str, schema, sep: str = ",", header: bo
     return filled.withColumn("day", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)))
 
 
+def read_day_folders(spark: SparkSession, folder: str, schema: str, sep: str = ",", header: bool = True, column: str = "day") -> DataFrame:
+    """Part files of the folders ``<column>=YYYY-MM-DD`` below ``folder`` as one frame; blank lines drop out.
+
+    The day is a partition column: a filter on it chooses folders and reads no other file.
+    """
+    fields = T.StructType([f for f in T.StructType.fromDDL(schema).fields if f.name != column])
+    frame = read_csv(spark, folder, T.StructType([*fields, T.StructField(column, T.DateType())]), sep, header)
+    return frame.where(F.coalesce(*[F.col(c).cast("string") for c in fields.names]).isNotNull())
+
+
 def read_vehicle_json(spark: SparkSession, path: str) -> DataFrame:
     """Vehicle positions, one JSON document per line, with the time of day split off."""
     rows = spark.read.schema(schemas.VEHICLE).json(path)
