@@ -213,12 +213,15 @@ def knn_neighbours(
     at_home = _search(asked.where("home IS NOT NULL").withColumnRenamed("home", "node"), rows, need, carry_type)
     at_home = checkpointed(at_home, "knn-at-home")
     best = Window.partitionBy("test_id").orderBy("distance", "train_id")
-    kth = at_home.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == need)
-    kth = kth.select(F.col("test_id").alias("__id"), "distance")
-    tight = asked.join(kth, F.col("test_id") == F.col("__id"), "left")
-    tight = tight.select("test_id", "__v", "home", F.least("bound", F.coalesce("distance", F.lit(float("inf")))).alias("bound"))
-    elsewhere = _reachable(tight, tree, root).where(~F.col("node").eqNullSafe(F.col("home")))
-    found = at_home.unionByName(_search(checkpointed(elsewhere, "knn-elsewhere"), rows, need, carry_type))
+    if root.first()["leaf"] and asked.where("home IS NULL").isEmpty():  # one leaf holds all rows
+        found = at_home
+    else:
+        kth = at_home.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == need)
+        kth = kth.select(F.col("test_id").alias("__id"), "distance")
+        tight = asked.join(kth, F.col("test_id") == F.col("__id"), "left")
+        tight = tight.select("test_id", "__v", "home", F.least("bound", F.coalesce("distance", F.lit(float("inf")))).alias("bound"))
+        elsewhere = _reachable(tight, tree, root).where(~F.col("node").eqNullSafe(F.col("home")))
+        found = at_home.unionByName(_search(checkpointed(elsewhere, "knn-elsewhere"), rows, need, carry_type))
     if leave_self_out:
         found = found.where("test_id <> train_id")
     out = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
