@@ -129,7 +129,7 @@ def nearest_point(
     """``left`` plus ``take`` and the distance (to the millimetre) of its nearest ``right`` point.
 
     Ties go to the smallest ``prefer``. Rows whose key has no point keep nulls, or drop out
-    with ``how="inner"``. ``row_id`` must identify a row of ``left``. ``size`` is the cell size in degrees, by default from the density.
+    with ``how="inner"``. Every row of ``left`` is kept as it is, whether or not ``row_id`` tells it apart. ``size`` is the cell size in degrees, by default from the density.
     """
     keys, take, prefer = list(keys), list(take), list(prefer)
     extra = list(dict.fromkeys([*prefer, *take]))
@@ -148,7 +148,7 @@ def nearest_point(
     cells = checkpointed(placed.repartition(parts, *cell), "cells")
     options = cell_options(cells, spots, keys, size)
 
-    # Lists hold at most LIST_ROWS places; a crowded cell gets several.
+    # Lists hold at most LIST_ROWS places; a crowded cell gets several, so that no list grows with the data.
     ranked = options.withColumn(
         "__part", F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy("__rlat", "__rlon")) - 1) / LIST_ROWS)
     )
@@ -168,14 +168,15 @@ def nearest_point(
         )
 
     vectors = _vector("__l", F.col(left_at[0]), F.col(left_at[1]))
+    crowded = (lists.agg(F.max("__part")).first()[0] or 0) > 0
+    # The nearest place depends on cell and coordinates only. Where a cell has several lists, each distinct place of a
+    # row is answered once and joined back, so that equal or null ids never matter.
+    asked = rows.select(*cell, *left_at).distinct() if crowded else rows
     # Below the join, so that the vectors are computed once per row and not once per place.
-    near = rows.withColumns(vectors).join(lists, cell, how)
-    hits = near.withColumn("__best", F.array_min(F.transform("__places", scored)))
-    if (lists.agg(F.max("__part")).first()[0] or 0) > 0:
-        hits = (
-            hits.groupBy(*[F.col(c).alias(f"__id_{c}") for c in row_id])
-            .agg(F.any_value(F.struct(*left.columns)).alias("__row"), F.min("__best").alias("__best"))
-            .select("__row.*", "__best")
-        )
+    hits = asked.withColumns(vectors).join(lists, cell, "inner" if crowded else how)
+    hits = hits.withColumn("__best", F.array_min(F.transform("__places", scored)))
+    if crowded:
+        best = hits.groupBy(*cell, *left_at).agg(F.min("__best").alias("__best"))
+        hits = rows.join(best, [*cell, *left_at], how)
     metres = haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col("__best.__rlat"), F.col("__best.__rlon"))
     return hits.select(*left.columns, *[F.col(f"__best.__t_{c}").alias(c) for c in take], F.round(metres, 3).alias(distance))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busweave.functions.geo import utm_to_latlon
 from busweave.operators.ordered import over_slices, position
 
 # Columns of the common ping layout, line code of vehicles out of service, trip problem label.
@@ -40,21 +41,38 @@ GPS_MAPPINGS = {
     },
 }
 
-# Feature groups of the integrated rows.
+# Feature groups of the integrated rows, and the timestamps whose parts belong to each.
 FEATURE_GROUPS = {
-    "gps": ("route", "tripNum", "shapeId", "busCode", "gpsLat", "gpsLon", "distanceToShapePoint"),
+    "gps": (
+        "route", "tripNum", "shapeId", "busCode", "gpsPointId", "gpsLat", "gpsLon", "distanceToShapePoint", "problem",
+        "headway", "headwayThreshold", "busBunching", "GPShour",
+    ),
     "gtfs": ("routeFrequency", "shapeSequence", "shapeLat", "shapeLon", "distanceTraveledShape", "stopPointId"),
-    "weather": ("precipitation", "precipitationTime", "precipitationStationDistance"),
-    "traffic": ("alertSubtype", "alertType", "alertConfidence", "jamDelay", "jamLength", "jamLevel", "jamSeverity"),
+    "weather": ("precipitation", "precipitationStationDistance"),
+    "traffic": (
+        "alertSubtype", "alertType", "alertRoadType", "alertConfidence", "alertNComments", "alertNImages", "alertNThumbsUp",
+        "alertReliability", "alertReportMood", "alertReportRating", "alertSpeed", "alertLatitude", "alertLongitude",
+        "alertDistanceToClosestShapePoint", "alertIsJamUnifiedAlert", "alertInScale", "jamBlockType", "jamDelay", "jamLength",
+        "jamLevel", "jamSeverity", "jamSpeedKM",
+    ),
 }
+FEATURE_DATES = {"gps": ("gps_datetime",), "weather": ("precipitationTime",), "traffic": ("alertDateTime", "jamUpdateDateTime")}
 
 
 # --- projections -------------------------------------------------------------------------------
 
 
-def standardise_gps(df: DataFrame, mapping: dict[str, str], gps_id: str | None = None) -> DataFrame:
-    """Project a city's raw pings to the common columns."""
-    cols = [F.col(src).alias(dst) for dst, src in mapping.items()]
+def standardise_gps(df: DataFrame, mapping: dict[str, str], gps_id: str | None = None, utm_zone: int | None = None) -> DataFrame:
+    """Project a city's raw pings to the common columns.
+
+    With ``utm_zone`` (of the southern half) the source columns of latitude and longitude are planar easting and northing, of one
+    city, and become degrees; a zero, missing or unreadable one gives nulls.
+    """
+    columns = {dst: F.col(src) for dst, src in mapping.items()}
+    if utm_zone is not None:
+        east, north = (columns[c].try_cast("double") for c in ("latitude", "longitude"))
+        columns["latitude"], columns["longitude"] = utm_to_latlon(east, north, utm_zone)
+    cols = [c.alias(dst) for dst, c in columns.items()]
     return df.select(*cols, *([F.col(gps_id).alias("gps_id")] if gps_id else []))
 
 
@@ -63,9 +81,17 @@ def reorder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
-def feature_group(df: DataFrame, *groups: str, groups_of: dict = FEATURE_GROUPS) -> DataFrame:
+def feature_group(df: DataFrame, *groups: str, groups_of: dict = FEATURE_GROUPS, dates_of: dict = FEATURE_DATES) -> DataFrame:
+    """Columns of the groups, also of the next bus (suffix ``SB``), and parts of their timestamps such as ``DAY(name)``."""
     wanted = {c for g in groups for c in groups_of[g]}
-    return df.select(*[c for c in df.columns if c in wanted or c.removesuffix("SB") in wanted])
+    dates = {c for g in groups for c in dates_of.get(g, ())}
+
+    def belongs(column: str) -> bool:
+        _, part, name = column.partition("(")
+        names = dates if part else wanted
+        return (name.removesuffix(")") if part else column).removesuffix("SB") in names or column in wanted
+
+    return df.select(*[c for c in df.columns if belongs(c)])
 
 
 def drop_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from busweave.plans import (  # noqa: F401
     q_enrich,
     q_headway,
+    q_integrated,
     q_learning,
     q_matching,
     q_profile,

@@ -49,7 +49,7 @@ def _(t):
 _GTFS = """
 g_trips AS (SELECT o_orderkey AS trip_id, o_custkey % 300 AS route_id, o_orderkey % 4 AS service_id, o_orderkey % 200 AS shape_id FROM orders),
 g_stops AS (SELECT c_custkey AS stop_id, -25.0 - (c_custkey % 100) / 200.0::DOUBLE AS lat, -49.0 - c_acctbal / 25000.0::DOUBLE AS lon FROM customer),
-g_routes AS (SELECT p_partkey AS route_id, 'R' || p_partkey AS route_code, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS frequency FROM part WHERE p_size < 45),
+g_routes AS (SELECT p_partkey AS route_id, 'R' || p_partkey AS route_code, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS frequency FROM part),
 g_events AS (SELECT l_orderkey AS trip_id, l_partkey % (SELECT count(*) FROM customer) AS stop_id, l_linenumber AS stop_seq,
   CAST(floor(epoch(l_shipdate)) AS BIGINT) AS arrival, l_suppkey AS k2, l_partkey AS k1, l_quantity FROM lineitem)"""
 
@@ -71,7 +71,7 @@ def _gtfs(t):
             F.col("o_orderkey").alias("file_order"),
         ),
         "stops": stops,
-        "routes": t.part.where("p_size < 45").select(
+        "routes": t.part.select(
             F.col("p_partkey").alias("route_id"),
             F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("route_code"),
             F.when(F.col("p_size") > 25, "high").otherwise("low").alias("frequency"),
