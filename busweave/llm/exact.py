@@ -55,21 +55,25 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
     """Index of the distinct texts of ``docs``, read back from its files in the shared folder.
 
-    Rows are combined by hash and by the bytes of the text, before and after the shuffle, so that a text with a
-    third of all rows costs one row per task. Texts whose hashes collide get chain numbers 0, 1, ... in one bucket.
-    Each owner task then writes the buckets of one range of the directory to its own file.
+    The directory is built over the distinct hashes. Every row is then routed to its directory cell and bucket, and
+    within the bucket rows are combined by hash and by the bytes of the text, before and after the shuffle, so that a text with a
+    third of all rows costs one row per task. Texts whose hashes collide get chain numbers 0, 1, ... in their bucket.
+    Each owner task writes the buckets of one range of cells to its own file.
     """
-    text = ascii_lower(F.col(text_col))
+    body = ascii_lower(F.col(text_col))
+    keys = checkpointed(docs.select(F.xxhash64(body).alias("h")).distinct(), "hashes")
+    cells, depth = directory(keys, capacity)
+    cells = checkpointed(cells, "cells")
+    hashed = docs.select(F.col(id_col).alias("id"), body.alias("body")).withColumn("h", F.xxhash64("body"))
+    routed = hashed.withColumn("cell", top_bits(F.col("h"), depth)).join(cells, "cell")
     entries = (
-        docs.select(F.col(id_col).alias("id"), text.alias("body"))
-        .groupBy(F.xxhash64("body").alias("h"), "body")
+        routed.groupBy("bucket", "cell", "h", "body")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes"), "keep_id", "group_size")
+        .select("bucket", "cell", "h", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes"), "keep_id", "group_size")
     )
-    entries = checkpointed(entries, "entries")
-    cells, depth = directory(entries, capacity)
-    chain = F.row_number().over(Window.partitionBy("h").orderBy("text_sha256")) - 1
-    placed = entries.withColumn("chain", chain).withColumn("cell", top_bits(F.col("h"), depth)).join(cells, "cell")
+    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("text_sha256")) - 1
+    # Written before the sort by ranges, which reads its input twice.
+    placed = checkpointed(entries.withColumns({"chain": chain, "depth": F.lit(depth)}), "entries")
     path = scratch_dir(docs.sparkSession, "exact-index")
     placed.repartitionByRange("cell").sortWithinPartitions("cell", "h", "chain").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -78,13 +82,21 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 taken from ``index``; any other columns pass through.
 
+    A row finds its cell by the leading bits of its hash, the cell's bucket in the directory, and there the entry of
+    its hash and text along the chain. A text that the index does not hold is left out.
+
     A null text counts as empty. A row with a null id never stands for a group that has another id; among rows with
     the same text and the same id all are marked kept. An empty table gives an empty result.
     """
     body = ascii_lower(F.col(text_col))
-    found = index.select(F.col("h").alias("__h"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__n"))
+    depth = index.agg(F.max("depth")).first()[0] or 0
+    cells = index.groupBy(F.col("cell").alias("__cell")).agg(F.max("bucket").alias("__bucket"))
+    found = index.select(
+        F.col("bucket").alias("__in"), F.col("h").alias("__h"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__n")
+    )
     keyed = docs.withColumn("__body", body).withColumn("__dh", F.xxhash64("__body")).withColumn("__dsha", F.sha2("__body", 256)).drop("__body")
-    joined = keyed.join(found, (F.col("__dh") == F.col("__h")) & (F.col("__dsha") == F.col("__sha")))
+    routed = keyed.withColumn("__cell", top_bits(F.col("__dh"), depth)).join(cells, "__cell")
+    joined = routed.join(found, (F.col("__bucket") == F.col("__in")) & (F.col("__dh") == F.col("__h")) & (F.col("__dsha") == F.col("__sha")))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     return joined.select(
         *own,
