@@ -8,7 +8,8 @@ from busweave.functions.text import dash_to_null, null_to_dash
 from busweave.operators import shaping as S
 from busweave.operators.ordered import blocks_of, hours
 from busweave.plans import bindings as B
-from busweave.plans.registry import query
+from busweave.plans import q_scalars  # noqa: F401  (its SQL of planar coordinates)
+from busweave.plans.registry import SQL, query
 
 # Raw pings: text columns with dashes and blanks where data is missing, some vehicles out of service.
 _RAW = """raw AS (
@@ -45,6 +46,25 @@ def _(t):
     return _gps(t)
 
 
+@query(
+    "p01_standardise_planar",
+    f"""SELECT o_orderkey AS gps_id, o_orderkey % 5 AS bus_code, CASE WHEN o_orderkey % 7 > 1 THEN lat END AS latitude, CASE WHEN o_orderkey % 7 > 1 THEN lon END AS longitude
+    FROM ({SQL["f05_utm_to_latlon"]})""",
+)
+def _(t):
+    key = F.col("o_orderkey")
+    gone = lambda c: F.when(key % 7 == 0, "-").when(key % 7 == 1, "0").otherwise(c.cast("string"))
+    raw = t.orders.select(
+        key,
+        (key % 5).alias("Unidad"),
+        gone(200000 + F.col("o_totalprice")).alias("CoordX"),
+        gone(9000000 + F.col("o_custkey") * 10.0).alias("CoordY"),
+    )
+    columns = {c: v for c, v in S.GPS_MAPPINGS["recife"].items() if v in raw.columns}
+    out = S.standardise_gps(raw, columns, "o_orderkey", utm_zone=25)
+    return out.withColumns({c: F.round(c, 7) for c in ("latitude", "longitude")})
+
+
 @query(
     "p02_reorder",
     "SELECT c_mktsegment, c_name, CAST(NULL AS VARCHAR) AS street, c_custkey FROM customer",
