@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busweave.functions.geo import haversine_m
-from busweave.functions.times import minutes_between
-from busweave.operators.best import best_match
+from busweave.operators.best import closest_in_time
 from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import first_per_key
 from busweave.operators.streets import containing_pairs
@@ -42,15 +41,7 @@ def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts:
     )
     options = target.join(single, ["station", "__day", "__source"]).drop("__source", "__second")
     rows = df.withColumns({"__day": F.to_date(ts), "__hour": F.hour(ts)})
-    gap = F.abs(minutes_between(F.col(ts), F.col("reading_ts")))
-    found = best_match(
-        rows,
-        options,
-        ["station", "__day", "__hour"],
-        row_id,
-        {"gap": gap, "ts": F.col("reading_ts")},
-        {"precipitation": F.col("precipitation"), "reading_ts": F.col("reading_ts")},
-    )
+    found = closest_in_time(rows, options, ["station", "__day", "__hour"], row_id, ts, "reading_ts", [], ["precipitation", "reading_ts"])
     return found.drop("__day", "__hour")
 
 
@@ -98,21 +89,21 @@ def match_alerts(
     rows = df.withColumn("__hour", hour_of(ts))
     keys = ["cell", "__hour"]
     options = _by_street(df, named).withColumn("__hour", F.explode(hours))
-    gap = minutes_between(F.col(ts), F.col("alert_ts"))
-    valid = ((gap <= 0) & (F.abs(gap) < before_min)) | ((gap > 0) & (gap < after_min))
-    extra = {c: F.col(c) for c in take}
-    if distance:
-        extra["alert_m"] = F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("alert_lat"), F.col("alert_lon")), 3)
-    found = best_match(
+    found = closest_in_time(
         rows,
         options,
         [*keys, "street"],
         row_id,
-        {"gap": F.abs(gap), "ts": F.col("alert_ts"), "id": F.col("alert_id")},
-        {"alert_ts": F.col("alert_ts"), "alert_lat": F.col("alert_lat"), "alert_lon": F.col("alert_lon"), **extra},
-        valid,
-    )
-    return found.drop("__hour")
+        ts,
+        "alert_ts",
+        ["alert_id"],
+        ["alert_ts", "alert_lat", "alert_lon", *take],
+        lambda gap: ((gap <= 0) & (F.abs(gap) < before_min)) | ((gap > 0) & (gap < after_min)),
+        skip=0 if before_min > 0 else 60,
+    ).drop("__hour")
+    if not distance:
+        return found
+    return found.withColumn("alert_m", F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("alert_lat"), F.col("alert_lon")), 3))
 
 
 def match_jams(
@@ -130,15 +121,8 @@ def match_jams(
     rows = df.withColumns({"__day": F.to_date(ts), "__hour": F.hour(ts)})
     keys = ["__day", "__hour"]
     options = _by_street(rows, listed)
-    gap = F.abs(minutes_between(F.col(ts), F.col("jam_ts")))
-    found = best_match(
-        rows,
-        options,
-        [*keys, "street"],
-        row_id,
-        {"gap": gap, "ts": F.col("jam_ts"), "id": F.col("jam_id")},
-        {"jam_ts": F.col("jam_ts"), **{c: F.col(c) for c in take}},
-        gap < window_min,
+    found = closest_in_time(
+        rows, options, [*keys, "street"], row_id, ts, "jam_ts", ["jam_id"], ["jam_ts", *take], lambda gap: F.abs(gap) < window_min
     )
     return found.drop("__day", "__hour")
 
