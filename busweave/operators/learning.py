@@ -240,6 +240,19 @@ def bootstrap(df: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
     return spread.withColumn("__times", times).where("__times > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", "__nth")
 
 
+def sample_sizes(samples: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
+    """Rows and distinct known keys of each resample of ``bootstrap``; samples without rows have no row here.
+
+    Draws are counted per key first, for all samples at once: the copies of a row lie side by side, so that a key
+    is shuffled once and not once for each sample it is in.
+    """
+    drawn = [F.count_if(F.col("sample") == s).alias(f"__n{i}") for i, s in enumerate(seeds)]
+    per_key = samples.groupBy(key).agg(*drawn)
+    counts = F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"__n{i}").alias("n")) for i, s in enumerate(seeds)])
+    listed = per_key.select(F.col(key).alias("__key"), F.inline(counts)).where("n > 0")
+    return listed.groupBy("sample").agg(F.sum("n").alias("rows"), F.count("__key").alias("distinct_rows"))
+
+
 def regression_scores(df: DataFrame, label: str = "label") -> dict[str, float]:
     return {
         m: RegressionEvaluator(labelCol=label, metricName=m).evaluate(df) for m in ("rmse", "r2", "mae")

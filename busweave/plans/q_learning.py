@@ -329,5 +329,5 @@ def _(t):
 
 @query("m30_bootstrap")
 def _(t):
-    out = L.bootstrap(_rows(t).select("row_id", "label"), "row_id", [1, 2, 3, 4, 5, 6, 7])
-    return out.groupBy("sample").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("distinct_rows"))
+    seeds = [1, 2, 3, 4, 5, 6, 7]
+    return L.sample_sizes(L.bootstrap(_rows(t).select("row_id", "label"), "row_id", seeds), "row_id", seeds)
