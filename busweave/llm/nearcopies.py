@@ -3,7 +3,7 @@
 Fingerprints of 64 bits differ in some ten bits at a similarity of 0.8, too many for a scheme of bit fields. Bands of
 min-hashes meet such a pair with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.99997, and no pair is linked by them alone:
 texts that bands connect are cut into parts of bounded size, and every pair in two parts that shares a band and is
-not yet connected is compared shingle by shingle.
+not yet connected is compared shingle by shingle. What the fingerprints propose counts as one more band.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busweave.llm.common import ascii_lower, components, small_batches
@@ -69,15 +69,24 @@ def linked(keys: list[np.ndarray], sets: list[list[np.ndarray]], same: bool, thr
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """64-bit hash that stands for a text, A-Z as a-z."""
+    return F.xxhash64(ascii_lower(text.cast("string")))
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, links: DataFrame | None = None
+) -> DataFrame:
     """``(id, component_id)`` per row of ``docs``.
 
     component_id is the smallest non-null id reachable over pairs whose sets of ``width``-word shingles (A-Z as a-z)
     have a Jaccard similarity of at least ``threshold``. Texts of equal shingles, and all without words, are linked.
     Rows with a null id take part; repeated rows are returned as often as they occur. Equal means 64 bits of hash.
+    ``links (text_key, component_id)`` proposes what another method found: texts of one component are compared too; of
+    the texts with one set of shingles the one with the smallest key stands for all.
     """
     source = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col).cast("string")).alias("text"))
-    source = source.withColumn("text_key", F.xxhash64("text"))
+    source = source.withColumn("text_key", text_key(F.col("text")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(width)
@@ -90,7 +99,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = source.schema["id"].dataType.simpleString()
     signed = checkpointed(source.mapInArrow(sign, f"id {kind}, text_key long, node long, keys array<long>"), "band-keys")
     nodes = checkpointed(signed.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("text_key", "keys")).alias("s")), "near-nodes")
-    nodes = nodes.select("node", "low", "s.text_key", "s.keys")
+    nodes, per_node = nodes.select("node", "low", "s.text_key", "s.keys"), BANDS
+    if links is not None:
+        proposed = nodes.select("node", "text_key").join(links, "text_key").select("node", F.col("component_id").alias("more"))
+        more = F.array(F.coalesce("more", "node"))  # a key of its own where nothing is proposed
+        nodes = nodes.join(proposed, "node", "left").withColumn("keys", F.concat("keys", more)).drop("more")
+        nodes, per_node = checkpointed(nodes, "near-proposed"), BANDS + 1
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = components(keyed.join(met, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
@@ -118,7 +132,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in small_batches(batches, 1):
             i, j, members = (column[0].as_py() for column in batch.columns)
             sides = [[m for m in members if m["part"] == p] for p in (i, j)]
-            keys = [np.array([m["keys"] for m in side], np.int64).reshape(-1, BANDS) for side in sides]
+            keys = [np.array([m["keys"] for m in side], np.int64).reshape(-1, per_node) for side in sides]
             sets = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in sides]
             pairs = linked(keys, sets, i == j, threshold)
             ends = [[sides[s][pair[s]]["node"] for pair in pairs] for s in (0, 1)]

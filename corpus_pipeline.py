@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busweave.llm import bpe, exact, mixing, nearcopies, toxicity
+from busweave.llm import bpe, exact, mixing, nearcopies, simhash, toxicity
 from busweave.session import checkpointed
 
 REJECT_FROM = 0.5
@@ -29,9 +29,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles of similarity 0.8 or more the document with the smallest doc_id stays;
-    rows without an id stay too."""
-    groups = nearcopies.near_copies(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    """Of each group of near copies the document with the smallest doc_id stays; rows without an id stay too.
+
+    Operator (1) proposes texts whose fingerprints differ in three bits at most, min-hash bands those that differ in
+    more; proposed texts are near copies if their five-word shingles have a similarity of 0.8 or more.
+    """
+    texts = docs.select(nearcopies.text_key(F.col("text")).alias("text_key"), "text")
+    links = simhash.near_duplicates(texts, "text_key").select(F.col("id").alias("text_key"), "component_id").distinct()
+    groups = nearcopies.near_copies(docs, links=links).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
