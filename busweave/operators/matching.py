@@ -53,14 +53,23 @@ def shape_lines(shapes: DataFrame, block: int = POINT_BLOCK) -> DataFrame:
     """One row per shape: ends, length, points, greatest gap, end threshold and round-trip flag."""
     steps = over_slices(shapes, ["shape"], ["seq"], blocks_of("seq", block), __p=preceding("lat", "lon"))
     gap = haversine_m(F.col("__p.lat"), F.col("__p.lon"), F.col("lat"), F.col("lon"))
-    place = F.struct("lat", "lon")
-    lines = steps.groupBy("shape").agg(
-        F.any_value("route").alias("route"),
+    # By shape and route first: numbers alone are combined without a sort of all points; then few rows are left.
+    ends_of = {f"{end}_{c}": by(c, "seq") for end, by in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon")}
+    parts = steps.groupBy("shape", "route").agg(
         F.count(F.lit(1)).alias("points"),
-        F.max_by("dist", "seq").alias("total_m"),
-        F.round(F.coalesce(F.max(gap), F.lit(0.0)), 3).alias("greatest_gap_m"),
-        F.min_by(place, "seq").alias("a"),
-        F.max_by(place, "seq").alias("b"),
+        F.max(gap).alias("gap"),
+        F.max_by("dist", "seq").alias("dist"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+        *[v.alias(k) for k, v in ends_of.items()],
+    )
+    lines = parts.groupBy("shape").agg(
+        F.any_value("route").alias("route"),
+        F.sum("points").alias("points"),
+        F.max_by("dist", "last").alias("total_m"),
+        F.round(F.coalesce(F.max("gap"), F.lit(0.0)), 3).alias("greatest_gap_m"),
+        F.min_by(F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")), "first").alias("a"),
+        F.max_by(F.struct(F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")), "last").alias("b"),
     )
     ends = haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return lines.select(

@@ -228,7 +228,8 @@ def _(t):
     ),
 )
 def _(t):
-    lines = M.shape_lines(tracks(t))
+    used = ["shape", "route", "greatest_gap_m", "start_lat", "start_lon", "end_lat", "end_lon"]
+    lines = checkpointed(M.shape_lines(tracks(t)).select(*used), "shape-lines")
     vehicles = M.vehicle_lines(gps(t)).select("day", "bus", "route")
     out = M.complementary_shape(lines, vehicles.join(lines.select("route", "shape"), "route"))
     return out.withColumn("day", F.col("day").cast("string"))
