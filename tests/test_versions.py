@@ -86,3 +86,19 @@ def test_other_streams_keep_their_state_store(spark, feed):
     assert spark.conf.get(versions.PROVIDER, None) == before
     with pytest.raises(ValueError):
         versions.read_by_day(spark, feed.target + "-none")
+
+
+def test_state_is_an_aggregate_and_the_first_of_equal_versions_stays(spark, feed):
+    feed.land([(1, 1, "first", 1), (1, 1, "equal", 1), (2, 1, "old", 1), (2, 1, "newer", 2)])
+    stream = feeds.read_feed(spark, feed.target.replace("out", "in"), SCHEMA)
+    query = versions.upsert_by_day(stream, "id", "ts", feed.target, feed.mark, tie="n")
+    query.awaitTermination()
+    assert [s["operatorName"] for s in query.lastProgress["stateOperators"]] == ["stateStoreSave"]  # no calls per key
+    feed.land([(1, 1, "later batch", 1), (2, 1, "less", 1)])
+    feed.run()
+    assert feed.rows() == [(1, 1, 1, "first"), (2, 1, 1, "newer")]
+
+
+@pytest.mark.parametrize("delay,ms", [("1 hour", 3_600_000), ("30 hours 5 minutes", 108_300_000), ("1 month 2 days", 33 * 86_400_000)])
+def test_delays_are_those_of_a_watermark(spark, delay, ms):
+    assert versions._delay_ms(spark, delay) == ms
