@@ -4,7 +4,8 @@ Training rows form a tree of clusters that splits until a leaf holds a bounded n
 follows the data; each node has a centre, a radius and a count. A row first searches the leaf around it, which bounds
 the distance of its k-th neighbour, then goes down all branches that can hold something closer, by the triangle
 inequality. Each leaf meets the rows that reach it in blocks of bounded size, one Arrow batch of matrix arithmetic
-each. Nothing is dropped: branches ruled out cannot hold a neighbour.
+each. Nothing is dropped: branches ruled out cannot hold a neighbour, and a block gives a row its k nearest, by
+distance and id, however many lie as far.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from busweave.operators.features import row_hash
 from busweave.session import checkpointed
 
-BLOCK_ROWS = 4096
-#: Training rows of a leaf at most, but for rows that are all alike.
+BLOCK_ROWS = 32768
+#: Training rows of a leaf at most, but for rows that are all alike, for each four dimensions. Bounds rule out less with
+#: each dimension, and a row is sent to every leaf that is left, so leaves of long vectors are larger, up to a block.
 LEAF_ROWS = 2048
+#: Distances worked out at a time.
+CELLS = 1 << 20
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -34,7 +38,7 @@ def _stats(rows: DataFrame) -> DataFrame:
 def _centres(rows: DataFrame, pivots: int, level: int) -> DataFrame:
     """``node, centres``: of each node some rows by hash and one of those farthest from its centre, distinct vectors."""
     mixed = Window.partitionBy("node").orderBy(F.xxhash64("train_id", F.lit(level)), "train_id")
-    place = rows.withColumn("__place", F.row_number().over(mixed)).where(F.col("__place") < pivots)
+    place = rows.withColumn("__place", F.row_number().over(mixed)).where(F.col("__place") < pivots).where("__place < __most")
     far = rows.where("to_centre = radius").withColumn("__place", F.row_number().over(mixed)).where("__place = 1")
     picked = place.select("node", "__v").unionByName(far.select("node", "__v"))
     centres = picked.groupBy("node").agg(F.array_sort(F.array_distinct(F.collect_list("__v"))).alias("centres"))
@@ -44,15 +48,16 @@ def _centres(rows: DataFrame, pivots: int, level: int) -> DataFrame:
 def cluster_tree(base: DataFrame, pivots: int = 16, leaf_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leaf of every row of ``base (train_id, __v, …)``, the nodes below each split node, and the root.
 
-    A node with more than ``leaf_rows`` rows is split among up to ``pivots`` of its own rows, each row going to the
-    nearest; one of them is as far from the node's centre as any, so that only rows that are all alike stay together.
+    A node with more than ``leaf_rows`` rows is split among up to ``pivots`` of its own rows, twice as many as leaves
+    are needed at most, each row going to the nearest; one of them is as far from the node's centre as any, so that only rows that are all alike stay together.
     Rounds grow with the logarithm of the rows. Returns ``rows (…, node)``, ``tree (parent, children)`` and
     ``root (centre, radius, n, leaf)`` with one row.
     """
-    leaf_rows = leaf_rows or LEAF_ROWS
-    if base.isEmpty():
-        raise ValueError("no training rows")
     first = base.orderBy(row_hash("train_id"), "train_id").limit(1).select(F.col("__v").alias("__c"))
+    middle = first.first()
+    if middle is None:
+        raise ValueError("no training rows")
+    leaf_rows = leaf_rows or min(BLOCK_ROWS, LEAF_ROWS * max(1, len(middle[0] or []) // 4))
     start = base.withColumn("node", F.lit("0")).join(first.withColumn("node", F.lit("0")), "node")
     open_rows = checkpointed(start.withColumn("to_centre", _distance(F.col("__v"), F.col("__c"))).drop("__c"), "knn-rows")
     splits = (F.col("n") > leaf_rows) & (F.col("radius") > 0)
@@ -61,14 +66,14 @@ def cluster_tree(base: DataFrame, pivots: int = 16, leaf_rows: int | None = None
         "node", F.col("__c").alias("centre"), "radius", "n", (~splits).alias("leaf")
     )
     while True:
-        split = stats.where(splits).select("node", "radius")
+        split = stats.where(splits).select("node", "radius", F.greatest(F.lit(2), F.ceil(2 * F.col("n") / leaf_rows)).alias("__most"))
         leaves.append(open_rows.join(split, "node", "left_anti").drop("to_centre"))
         if split.isEmpty():
             break
         inside = open_rows.join(split, "node")
         centres = _centres(inside, pivots, level)
         nearest = F.array_min(F.transform("centres", lambda c, i: F.struct(_distance(c, F.col("__v")).alias("d"), i.alias("i"))))
-        below = inside.drop("to_centre", "radius").join(centres, "node").withColumn("__h", nearest).drop("centres")
+        below = inside.drop("to_centre", "radius", "__most").join(centres, "node").withColumn("__h", nearest).drop("centres")
         below = below.withColumns({"node": F.concat_ws(".", "node", "__h.i"), "to_centre": F.col("__h.d")}).drop("__h")
         open_rows = checkpointed(below, "knn-rows")
         stats = _stats(open_rows)
@@ -118,73 +123,86 @@ def _home(asked: DataFrame, tree: DataFrame, root: DataFrame, need: int) -> Data
 
 
 def _reachable(asked: DataFrame, tree: DataFrame, root: DataFrame) -> DataFrame:
-    """``(test_id, __v, home, node)`` for every leaf that can hold a row within the row's ``bound``."""
+    """``(test_id, home, node)`` for every leaf that can hold a row within the row's ``bound``.
+
+    All levels are one pass: leaves wait while the rest goes down, and no vector is written or sent on the way.
+    """
     top = root.select("node", "leaf")
     front = asked.withColumn("__one", F.lit(0)).join(top.withColumn("__one", F.lit(0)), "__one").drop("__one")
-    done = []
-    while True:
-        front = checkpointed(front, "knn-front")
-        done.append(front.where("leaf").drop("leaf", "bound"))
-        front = front.where("NOT leaf")
-        if front.isEmpty():
-            break
-        within = lambda c: _distance(c["centre"], F.col("__v")) - c["radius"] <= F.col("bound") * 1.000000001 + 1e-9
-        ways = front.join(tree, F.col("node") == F.col("parent")).withColumn("__c", F.explode(F.filter("children", within)))
+    within = lambda c: _distance(c["centre"], F.col("__v")) - c["radius"] <= F.col("bound") * 1.000000001 + 1e-9
+    for _ in range(_depth(tree, root)):
+        below = F.transform(F.filter("children", within), lambda c: F.struct(c["node"].alias("node"), c["leaf"].alias("leaf")))
+        ways = front.join(tree, F.col("node") == F.col("parent"), "left")
+        ways = ways.withColumn("__c", F.explode(F.when(F.col("leaf"), F.array(F.struct("node", "leaf"))).otherwise(below)))
         front = ways.select(*asked.columns, F.col("__c.node").alias("node"), F.col("__c.leaf").alias("leaf"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return front.select("test_id", "home", "node")
+
 
+def _depth(tree: DataFrame, root: DataFrame) -> int:
+    """Levels below the root; a node's name holds a dot for each level above it."""
+    deepest = tree.agg(F.max(F.length("parent") - F.length(F.replace("parent", F.lit("."), F.lit(""))))).first()[0]
+    return 0 if deepest is None else deepest + 1
 
-def _nearest_in_block(need: int):
+
+def _nearest_in_block(k: int, leave_self_out: bool):
     def nearest(asked_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"test_id": [], "train_id": [], "distance": [], "__carry": []})
         if asked_rows.empty or rows.empty:
-            return empty
+            return pd.DataFrame({"test_id": [], "train_id": [], "distance": [], "__carry": []})
         a, b = np.stack(asked_rows["__v"].to_numpy()), np.stack(rows["__v"].to_numpy())
+        asked_ids, bounds = asked_rows["test_id"].to_numpy(), asked_rows["bound"].to_numpy(float)
         ids, labels = rows["train_id"].to_numpy(), rows["__carry"].to_numpy()
-        take = min(need + 1, len(ids))
+        own_row = np.isin(asked_ids, ids) if leave_self_out else np.zeros(len(a), bool)
+        take = min(k, len(ids))
         out = []
         # The expanded square cancels for vectors far from the origin: measure from the block's middle, and
         # widen the cut by what rounding can add, which grows with the norms.
         middle = b.mean(axis=0)
         near, norms = b - middle, ((b - middle) ** 2).sum(axis=1)
         unit = 4 * (b.shape[1] + 4) * np.finfo(float).eps
-        for start in range(0, len(a), 256):
-            part = a[start : start + 256]
+        twice, most = -2 * near.T, norms.max()
+        step = max(1, CELLS // len(ids))
+        for start in range(0, len(a), step):
+            part, part_ids = a[start : start + step], asked_ids[start : start + step]
             moved = part - middle
             own = (moved**2).sum(axis=1)
-            square = own[:, None] + norms[None, :] - 2 * moved @ near.T
-            cut = np.partition(square, take - 1, axis=1)[:, take - 1]
-            slack = 2 * unit * (own + norms.max())
-            rows_in, cols_in = np.nonzero(square <= (cut + 2 * slack)[:, None])
+            square = moved @ twice
+            square += norms  # less the row's own square, which is the same for all
+            for i in np.flatnonzero(own_row[start : start + step]):
+                square[i, ids == part_ids[i]] = np.inf
+            slack = 4 * unit * (own + most)
+            limit = bounds[start : start + step]
+            cut = limit**2 * (1 + 1e-9) - own
+            if np.isinf(limit).any():
+                open_rows = np.isinf(limit)
+                cut[open_rows] = np.partition(square[open_rows], take - 1, axis=1)[:, take - 1]
+            rows_in, cols_in = np.nonzero(square <= (cut + slack)[:, None])
+            if leave_self_out:
+                other = part_ids[rows_in] != ids[cols_in]
+                rows_in, cols_in = rows_in[other], cols_in[other]
             exact = np.sqrt(((part[rows_in] - b[cols_in]) ** 2).sum(axis=1))
-            out.append(
-                pd.DataFrame(
-                    {
-                        "test_id": asked_rows["test_id"].to_numpy()[start + rows_in],
-                        "train_id": ids[cols_in],
-                        "distance": exact,
-                        "__carry": labels[cols_in],
-                    }
-                )
-            )
+            order = np.lexsort((ids[cols_in], exact, rows_in))
+            rows_in, cols_in, exact = rows_in[order], cols_in[order], exact[order]
+            best = np.arange(len(rows_in)) - np.searchsorted(rows_in, rows_in) < k
+            rows_in, cols_in = rows_in[best], cols_in[best]
+            out.append(pd.DataFrame({"test_id": part_ids[rows_in], "train_id": ids[cols_in], "distance": exact[best], "__carry": labels[cols_in]}))
         return pd.concat(out)
 
     return nearest
 
 
-def _search(asked: DataFrame, rows: DataFrame, need: int, carry_type: str) -> DataFrame:
-    """Nearest training rows of every pair ``asked (test_id, __v, node)``, leaf by leaf in blocks of bounded size."""
+def _search(asked: DataFrame, reached: DataFrame, rows: DataFrame, k: int, leave_self_out: bool, carry_type: str) -> DataFrame:
+    """The k nearest training rows of every row ``asked (test_id, __v, bound, node)``, leaf by leaf in blocks of bounded size.
+
+    ``reached`` has the ``node`` of the same rows, to count them without their vectors.
+    """
     blocks = lambda df, name: df.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias(name))
-    sizes = checkpointed(blocks(asked, "__tb").join(blocks(rows, "__rb"), "node"), "knn-blocks")
+    sizes = checkpointed(blocks(reached, "__tb").join(blocks(rows, "__rb"), "node"), "knn-blocks")
     every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-    left = asked.select("test_id", "__v", "node").join(sizes, "node").withColumns({"tb": row_hash("test_id") % F.col("__tb"), "rb": every("__rb")})
+    left = asked.select("test_id", "__v", "bound", "node").join(sizes, "node").withColumns({"tb": row_hash("test_id") % F.col("__tb"), "rb": every("__rb")})
     right = rows.join(sizes, "node").withColumn("rb", row_hash("train_id") % F.col("__rb")).withColumn("tb", every("__tb"))
     keys = ["node", "tb", "rb"]
     both = left.drop("__tb", "__rb").groupBy(*keys).cogroup(right.drop("__tb", "__rb").groupBy(*keys))
-    return both.applyInPandas(_nearest_in_block(need), f"test_id long, train_id long, distance double, __carry {carry_type}")
+    return both.applyInPandas(_nearest_in_block(k, leave_self_out), f"test_id long, train_id long, distance double, __carry {carry_type}")
 
 
 def knn_neighbours(
@@ -210,20 +228,20 @@ def knn_neighbours(
     need = k + int(leave_self_out)
     carry_type = train.schema[carry].dataType.simpleString() if carry else "string"
     asked = _home(test.select(F.col(row_id).cast("long").alias("test_id"), as_vector), tree, root, need)
-    at_home = _search(asked.where("home IS NOT NULL").withColumnRenamed("home", "node"), rows, need, carry_type)
-    at_home = checkpointed(at_home, "knn-at-home")
+    home = asked.where("home IS NOT NULL").select("test_id", "__v", F.lit(float("inf")).alias("bound"), F.col("home").alias("node"))
+    at_home = checkpointed(_search(home, home, rows, k, leave_self_out, carry_type), "knn-at-home")
     best = Window.partitionBy("test_id").orderBy("distance", "train_id")
     if root.first()["leaf"] and asked.where("home IS NULL").isEmpty():  # one leaf holds all rows
         found = at_home
     else:
-        kth = at_home.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == need)
+        kth = at_home.withColumn("__place", F.row_number().over(best)).where(F.col("__place") == k)
         kth = kth.select(F.col("test_id").alias("__id"), "distance")
         tight = asked.join(kth, F.col("test_id") == F.col("__id"), "left")
-        tight = tight.select("test_id", "__v", "home", F.least("bound", F.coalesce("distance", F.lit(float("inf")))).alias("bound"))
-        elsewhere = _reachable(tight, tree, root).where(~F.col("node").eqNullSafe(F.col("home")))
-        found = at_home.unionByName(_search(checkpointed(elsewhere, "knn-elsewhere"), rows, need, carry_type))
-    if leave_self_out:
-        found = found.where("test_id <> train_id")
+        tight = checkpointed(tight.select("test_id", "__v", "home", F.least("bound", F.coalesce("distance", F.lit(float("inf")))).alias("bound")), "knn-tight")
+        reached = _reachable(tight, tree, root).where(~F.col("node").eqNullSafe(F.col("home")))
+        reached = checkpointed(reached.distinct(), "knn-reached").withColumnsRenamed({"test_id": "__id", "home": "__home"})
+        elsewhere = tight.join(reached, (F.col("test_id") == F.col("__id")) & F.col("home").eqNullSafe(F.col("__home")))
+        found = at_home.unionByName(_search(elsewhere, reached, rows, k, leave_self_out, carry_type))
     out = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return out.withColumnRenamed("__carry", carry) if carry else out.drop("__carry")
 
@@ -234,7 +252,7 @@ def share_skipped(train: DataFrame, test: DataFrame, row_id: str, vector: str, k
     rows, tree, root = cluster_tree(train.select(F.col(row_id).cast("long").alias("train_id"), as_vector), pivots, leaf_rows)
     near = knn_neighbours(train, test, row_id, vector, k, pivots, leaf_rows=leaf_rows).where(F.col("place") == k)
     asked = test.select(F.col(row_id).cast("long").alias("test_id"), as_vector)
-    asked = asked.join(near.select("test_id", F.col("distance").alias("bound")), "test_id")
+    asked = asked.join(near.select("test_id", F.col("distance").alias("bound")), "test_id").withColumn("home", F.lit(None).cast("string"))
     met = _reachable(asked, tree, root).count()
     return 1 - met / (asked.count() * rows.select("node").distinct().count())
 

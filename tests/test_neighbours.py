@@ -1,6 +1,7 @@
 """Exact neighbours through the cluster tree, against a comparison of all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from busweave.operators import neighbours
@@ -60,3 +61,19 @@ def test_leaves_follow_the_data_and_rule_out_most_pairs(spark):
     assert sizes[1] > 4 * sizes[0]
     train, _ = frames(spark, large, large)
     assert neighbours.share_skipped(train, train.where("id % 10 = 0"), "id", "v", 5, 4, 50) > 0.8
+
+
+def test_a_block_gives_each_row_its_k_nearest_however_many_are_alike():
+    alike = pd.DataFrame({"train_id": range(300, 0, -1), "__v": [np.zeros(2)] * 300, "__carry": ["x"] * 300})
+    asked = pd.DataFrame({"test_id": [2, 900], "__v": [np.zeros(2), np.ones(2)], "bound": [np.inf, 1.5]})
+    got = neighbours._nearest_in_block(3, True)(asked, alike)
+    assert got[["test_id", "train_id"]].values.tolist() == [[2, 1], [2, 3], [2, 4], [900, 1], [900, 2], [900, 3]]
+
+
+def test_leaves_are_found_without_sending_vectors(spark):
+    train, _ = frames(spark, clustered(3, 120), [])
+    rows, tree, root = neighbours.cluster_tree(train.selectExpr("id AS train_id", "v AS __v"), 4, 20)
+    asked = train.selectExpr("id AS test_id", "v AS __v", "'' AS home", "1e9D AS bound")
+    met = neighbours._reachable(asked, tree, root)
+    assert met.columns == ["test_id", "home", "node"]
+    assert met.count() == 120 * rows.select("node").distinct().count()
