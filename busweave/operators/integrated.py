@@ -123,8 +123,9 @@ def label_visits(rows: DataFrame, scheduled: DataFrame, calendar: DataFrame, key
     are paired within a service day.
     """
     keys = list(keys)
-    paired = next_bus_headway(rows, ["day", *keys], carry=list(dict.fromkeys(NEXT.values())))
-    timed = service_for_day(paired, calendar).withColumns(
+    # Services first: their dates come from the rows as they are, not from rows paired a second time.
+    paired = next_bus_headway(service_for_day(rows, calendar), ["day", *keys], carry=list(dict.fromkeys(NEXT.values())))
+    timed = paired.withColumns(
         {"t1_s": seconds_of_day(F.col("ts")), "t2_s": seconds_of_day(F.col("sb.ts")), "gps_hour": F.hour("ts")}
     )
     timed = checkpointed(timed, "paired")

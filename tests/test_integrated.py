@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from busweave.operators import headway as H
 from busweave.operators import integrated as N
 from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import feature_group
@@ -79,3 +80,12 @@ def test_rows_of_equal_or_null_id_stay(spark, places):
     assert sorted((str(r.i), str(r.lat), r.p) for r in got) == sorted(
         [("1", "-25.0", 0), ("1", "-25.0", 0), ("1", "-24.0", places - 1), ("None", "-26.0", 0), ("2", "None", None)], key=lambda r: (r[0], r[1])
     )
+
+
+def test_services_of_dates_are_written_and_rows_are_paired_once(spark):
+    rows = spark.sql("SELECT id, timestamp'2024-01-01 08:00:00' + make_interval(0, 0, 0, int(id % 3)) AS ts FROM range(9)")
+    week = ", ".join(f"int({day} <= 5) AS {name}" for day, name in enumerate("monday tuesday wednesday thursday friday saturday sunday".split(), 1))
+    calendar = spark.sql(f"SELECT 7 AS service_id, date'2024-01-01' AS start_date, date'2024-01-02' AS end_date, {week}")
+    out = H.service_for_day(rows, calendar)
+    assert any("busweave-services" in f for f in out.inputFiles())
+    assert sorted((r.id, r.service_id) for r in out.collect()) == [(i, 1 if i % 3 == 2 else 7) for i in range(9)]
