@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -76,10 +76,13 @@ def _with_label(df: DataFrame, label: str) -> DataFrame:
 
 def fit_classifier(df: DataFrame, cols: Sequence[str], label: str, kind: str, **params):
     """Fitted pipeline: assembler and classifier."""
+    return Pipeline(stages=[assemble(cols), _classifier(cols, kind, params)]).fit(_with_label(df, label))
+
+
+def _classifier(cols: Sequence[str], kind: str, params: dict):
     if kind == "perceptron":
         params = {"layers": [len(cols), 8, 2], **params}
-    model = CLASSIFIERS[kind](labelCol="label", featuresCol="features", **params)
-    return Pipeline(stages=[assemble(cols), model]).fit(_with_label(df, label))
+    return CLASSIFIERS[kind](labelCol="label", featuresCol="features", **params)
 
 
 def fit_regressor(df: DataFrame, cols: Sequence[str], label: str, kind: str, **params):
@@ -95,8 +98,14 @@ def predict(model, df: DataFrame, name: str = "prediction") -> DataFrame:
 
 
 def fit_steps(df: DataFrame, cols: Sequence[str], labels: Sequence[str], kind: str, **params) -> dict:
-    """One model per label column."""
-    return {label: fit_classifier(df, cols, label, kind, **params) for label in labels}
+    """One model per label column. Rows are read and prepared once and written; every fit goes over what is written."""
+    prepare = assemble(cols).fit(df)
+    others = [c for c in (params.get("weightCol"),) if c]
+    steps = {label: f"__y{i}" for i, label in enumerate(labels)}
+    made = prepare.transform(df).select("features", *others, *[F.col(c).cast("double").alias(y) for c, y in steps.items()])
+    ready = checkpointed(made, "steps")
+    fit = lambda y: _classifier(cols, kind, params).fit(ready.select("features", *others, F.col(y).alias("label")))
+    return {label: PipelineModel([prepare, fit(y)]) for label, y in steps.items()}
 
 
 def predict_steps(models: dict, df: DataFrame) -> DataFrame:
@@ -186,9 +195,10 @@ def _predicted(model, df: DataFrame, name: str) -> DataFrame:
 def boost_by_errors(df: DataFrame, cols: Sequence[str], label: str, kinds: Sequence[str], train: str | None = None) -> DataFrame:
     """Each learner sees the predictions of those before it and is weighted by the last one's errors.
 
-    Learners are fitted to the rows where ``train`` holds, else to all; every row is predicted.
+    Learners are fitted to the rows where ``train`` holds, else to all; every row is predicted. Rows are written before
+    the first learner and after each, so that no pass of a fit goes through the models before it or makes its rows anew.
     """
-    out, weight, inputs = df, None, list(cols)
+    out, weight, inputs = checkpointed(df, "boost"), None, list(cols)
     for kind in kinds:
         params = {"weightCol": "weight"} if weight else {}
         model = fit_classifier(out.where(train) if train else out, list(inputs), label, kind, **params)
@@ -198,7 +208,7 @@ def boost_by_errors(df: DataFrame, cols: Sequence[str], label: str, kinds: Seque
         out = predict(model, out.select(*keep).withColumn("__y", F.col(label)).drop("label"), name)
         out = out.withColumn(label, F.col("__y")).drop("__y")
         weight = error_weights(out.withColumn("__l", F.col(label).cast("int")), "__l", name).drop("__l")
-        out = weight
+        out = checkpointed(weight, "boost")
     return out
 
 

@@ -19,6 +19,11 @@ from busweave.plans.registry import query
 COLS = B.FEATURE_COLS
 
 
+def _split_rows(t, *cols):
+    """Rows split for training, with the columns that are asked for."""
+    return split(_rows(t).drop("label"), "row_id", 0.8).select("is_train", *cols)
+
+
 def _rows(t):
     return B.features(t).select("row_id", *COLS, F.col("label").cast("int").alias("label"), "weekday", "ts").withColumn(
         "y", (F.col("quantity") > 25).cast("int")
@@ -221,24 +226,23 @@ def _(t):
 
 @query("m16_stack")
 def _(t):
-    rows = split(_rows(t).drop("label"), "row_id", 0.8)
+    rows = _split_rows(t, "row_id", "y", "price", "discount", "tax")
     out = L.stack(rows, ["price", "discount", "tax"], "y", ["random_forest", "tree", "logistic"], "row_id", train="is_train")
     return _metrics(out.where("NOT is_train"), "y", "pred_logistic")
 
 
 @query("m17_boost_by_errors")
 def _(t):
-    rows = split(_rows(t).drop("label"), "row_id", 0.8)
+    rows = _split_rows(t, "y", "price", "discount", "tax")
     out = L.boost_by_errors(rows, ["price", "discount", "tax"], "y", ["tree", "random_forest", "logistic"], train="is_train")
     return _metrics(out.where("NOT is_train"), "y", "pred_logistic")
 
 
 @query("m19_fit_steps")
 def _(t):
-    rows = _rows(t).drop("label")
+    rows = _split_rows(t, "quantity", "price", "discount", "tax")
     steps = [f"step_{k}" for k in range(11)]
     rows = rows.withColumns({s: (F.col("quantity") > 4 * (k + 1)).cast("int") for k, s in enumerate(steps)})
-    rows = split(rows, "row_id", 0.8)
     models = L.fit_steps(rows.where("is_train"), ["price", "discount", "tax"], steps, "tree", maxDepth=3)
     out = L.predict_steps(models, rows.where("NOT is_train"))
     return out.agg(*[F.avg((F.col(s) == F.col(f"pred_{s}")).cast("int")).alias(f"accuracy_{s}") for s in steps])

@@ -100,3 +100,19 @@ def test_unusual_boosting_rows(spark):
     assert {r.x: r.prediction for r in out.where("x IN (0, 1, 9)").collect()} == {0.0: 0, 1.0: 1, 9.0: 2}
     with pytest.raises(ValueError):
         fit_adaboost(df.limit(0), ["x"], "y")
+
+
+def test_steps_are_prepared_once_and_equal_single_fits(spark, monkeypatch):
+    df = noise(spark).withColumns({"a": (F.col("x") > 50).cast("int"), "b": (F.col("x") > 120).cast("int")})
+    want = [learning.predict(learning.fit_classifier(df, ["x"], y, "tree", maxDepth=3), df).orderBy("k").collect() for y in ("a", "b")]
+    calls, assemble = [], learning.assemble
+    monkeypatch.setattr(learning, "assemble", lambda *a: calls.append(a) or assemble(*a))
+    models = learning.fit_steps(df, ["x"], ["a", "b"], "tree", maxDepth=3)
+    assert len(calls) == 1
+    got = learning.predict_steps(models, df).orderBy("k").collect()
+    assert [(r.pred_a, r.pred_b) for r in got] == [(a.prediction, b.prediction) for a, b in zip(*want)]
+
+
+def test_boosted_rows_are_written_after_each_learner(spark):
+    out = learning.boost_by_errors(noise(spark), ["x"], "y", ["tree", "logistic"], train="is_train")
+    assert all("busweave-boost" in f for f in out.inputFiles()) and out.inputFiles()
