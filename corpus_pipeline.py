@@ -46,8 +46,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the digest of what they decode to."""
-    return bpe.decode(bpe.encode(docs)).select(
+    """Ids of every text, and the digest of what they decode to.
+
+    The ids are written before they are decoded: in one stage both steps would hold a Python worker for each core.
+    """
+    return bpe.decode(checkpointed(bpe.encode(docs), "ids")).select(
         "doc_id",
         "lang",
         "source",
