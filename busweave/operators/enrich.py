@@ -19,8 +19,8 @@ def nearest_station(df: DataFrame, stations: DataFrame, row_id: Sequence[str]) -
     return nearest_point(df, stations, row_id, [], ["station"], ["station"], distance="station_m")
 
 
-def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Reading of the row's station that is closest in whole minutes.
+def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts: str = "ts", keep: Sequence[str] | None = None) -> DataFrame:
+    """Reading of the row's station that is closest in whole minutes. ``keep``: as in ``closest_in_time``.
 
     Readings of the same hour are used; if there are none, those of the next later hour of the day
     that has some, else of the nearest earlier one. The earliest reading wins ties. A station
@@ -41,8 +41,10 @@ def asof_weather(df: DataFrame, readings: DataFrame, row_id: Sequence[str], ts:
     )
     options = target.join(single, ["station", "__day", "__source"]).drop("__source", "__second")
     rows = df.withColumns({"__day": F.to_date(ts), "__hour": F.hour(ts)})
-    found = closest_in_time(rows, options, ["station", "__day", "__hour"], row_id, ts, "reading_ts", [], ["precipitation", "reading_ts"])
-    return found.drop("__day", "__hour")
+    kept = df.columns if keep is None else keep
+    return closest_in_time(
+        rows, options, ["station", "__day", "__hour"], row_id, ts, "reading_ts", [], ["precipitation", "reading_ts"], keep=kept
+    )
 
 
 def _by_street(rows: DataFrame, reports: DataFrame) -> DataFrame:
@@ -65,13 +67,15 @@ def match_alerts(
     before_min: int = 60,
     after_min: int = 10,
     distance: bool = True,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Closest alert in time of the same cell whose street holds the row's street.
 
     ``alerts`` has ``cell``, ``street``, ``ts``, ``alert_id``, ``lat``, ``lon`` and the ``take``
     columns. An alert counts if it is less than ``before_min`` minutes older or less than
     ``after_min`` minutes newer. Cell and hour are equality keys, so only reports near in place and
-    time are met; each alert is listed under the hours it can serve.
+    time are met; each alert is listed under the hours it can serve. ``keep``: as in ``closest_in_time``; ``distance``
+    needs ``lat`` and ``lon`` among it.
     """
     hour_of = lambda c: F.floor(F.col(c).cast("long") / 3600)
     reach_back = -(-after_min // 60)
@@ -100,16 +104,23 @@ def match_alerts(
         ["alert_ts", "alert_lat", "alert_lon", *take],
         lambda gap: ((gap <= 0) & (F.abs(gap) < before_min)) | ((gap > 0) & (gap < after_min)),
         skip=0 if before_min > 0 else 60,
-    ).drop("__hour")
+        keep=df.columns if keep is None else keep,
+    )
     if not distance:
         return found
     return found.withColumn("alert_m", F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("alert_lat"), F.col("alert_lon")), 3))
 
 
 def match_jams(
-    df: DataFrame, jams: DataFrame, row_id: Sequence[str], take: Sequence[str], ts: str = "ts", window_min: int = 60
+    df: DataFrame,
+    jams: DataFrame,
+    row_id: Sequence[str],
+    take: Sequence[str],
+    ts: str = "ts",
+    window_min: int = 60,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Closest jam in time of the same date and hour whose street holds the row's street."""
+    """Closest jam in time of the same date and hour whose street holds the row's street. ``keep``: as in ``closest_in_time``."""
     listed = jams.select(
         F.to_date("ts").alias("__day"),
         F.hour("ts").alias("__hour"),
@@ -121,10 +132,10 @@ def match_jams(
     rows = df.withColumns({"__day": F.to_date(ts), "__hour": F.hour(ts)})
     keys = ["__day", "__hour"]
     options = _by_street(rows, listed)
-    found = closest_in_time(
-        rows, options, [*keys, "street"], row_id, ts, "jam_ts", ["jam_id"], ["jam_ts", *take], lambda gap: F.abs(gap) < window_min
+    kept = df.columns if keep is None else keep
+    return closest_in_time(
+        rows, options, [*keys, "street"], row_id, ts, "jam_ts", ["jam_id"], ["jam_ts", *take], lambda gap: F.abs(gap) < window_min, keep=kept
     )
-    return found.drop("__day", "__hour")
 
 
 # What a row without a report gets.

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from busweave.functions.geo import haversine_m
 from busweave.functions.times import seconds_of_day
 from busweave.operators import enrich as E
 from busweave.operators.features import booleans_to_int, fill_missing, impute_group_median
@@ -102,12 +103,12 @@ def integrate(visits: DataFrame, stations: DataFrame, readings: DataFrame, alert
         visits.select("visit_id", "ts", "cell", "street", F.col("shape_lat").alias("lat"), F.col("shape_lon").alias("lon")), "narrow"
     )
     near = E.nearest_station(narrow.select("visit_id", "ts", "lat", "lon"), stations, ["visit_id"])
-    weather = E.asof_weather(near.drop("lat", "lon"), readings, ["visit_id"]).drop("ts", "station")
-    alert = E.match_alerts(narrow, alerts, ["visit_id"], _ALERT_TAKE).select(
-        "visit_id", "alert_ts", "alert_lat", "alert_lon", "alert_m", *_ALERT_TAKE
-    )
-    jam = E.match_jams(narrow.select("visit_id", "ts", "street"), jams, ["visit_id"], _JAM_TAKE).drop("ts", "street")
+    weather = E.asof_weather(near.drop("lat", "lon"), readings, ["visit_id"], keep=["station_m"])
+    alert = E.match_alerts(narrow.drop("lat", "lon"), alerts, ["visit_id"], _ALERT_TAKE, distance=False, keep=[])
+    jam = E.match_jams(narrow.select("visit_id", "ts", "street"), jams, ["visit_id"], _JAM_TAKE, keep=[])
     rows = visits.join(weather, "visit_id").join(alert, "visit_id").join(jam, "visit_id")
+    away = haversine_m(F.col("shape_lat"), F.col("shape_lon"), F.col("alert_lat"), F.col("alert_lon"))
+    rows = rows.withColumn("alert_m", F.round(away, 3))
     neutral = {c: F.lit(v) for c, v in E.ALERT_DEFAULTS.items()}
     own = {"alert_lat": F.col("gps_lat"), "alert_lon": F.col("gps_lon"), "alert_m": F.col("distance_m")}
     rows = _where_none(rows, "alert_ts", {**neutral, **own})
@@ -115,21 +116,26 @@ def integrate(visits: DataFrame, stations: DataFrame, readings: DataFrame, alert
     return rows.withColumns({"alert_ts": F.coalesce("alert_ts", "ts"), "jam_ts": F.coalesce("jam_ts", "ts")})
 
 
-def label_visits(rows: DataFrame, scheduled: DataFrame, calendar: DataFrame, keys: Sequence[str] = ("route", "shape", "stop")) -> DataFrame:
+def label_visits(
+    rows: DataFrame,
+    scheduled: DataFrame,
+    calendar: DataFrame,
+    keys: Sequence[str] = ("route", "shape", "stop"),
+    carry: Sequence[str] = tuple(NEXT.values()),
+) -> DataFrame:
     """Integrated visits followed by another bus: next visit ``sb``, headway, threshold and label.
 
     ``scheduled`` has the intervals of ``scheduled_headways`` by ``keys`` and ``service_id``. The threshold is a share of
     the interval that holds both passing times on the service of the day, or the default where none does. Visits
-    are paired within a service day.
+    are paired within a service day. ``carry``: columns of the next visit, by default all it can have.
     """
     keys = list(keys)
     # Services first: their dates come from the rows as they are, not from rows paired a second time.
-    paired = next_bus_headway(service_for_day(rows, calendar), ["day", *keys], carry=list(dict.fromkeys(NEXT.values())))
+    paired = next_bus_headway(service_for_day(rows, calendar), ["day", *keys], carry=list(dict.fromkeys(carry)))
     timed = paired.withColumns(
         {"t1_s": seconds_of_day(F.col("ts")), "t2_s": seconds_of_day(F.col("sb.ts")), "gps_hour": F.hour("ts")}
     )
-    timed = checkpointed(timed, "paired")
-    planned = scheduled_headway_for(timed, scheduled, "visit_id", [*keys, "service_id"])
+    planned = scheduled_headway_for(timed, scheduled, "visit_id", [*keys, "service_id"], ids=rows)
     return label_bunching(planned, scheduled="sched_min").drop("t1_s", "t2_s", "service_id", "sched_min")
 
 
@@ -139,14 +145,15 @@ def integrated_columns(rows: DataFrame) -> DataFrame:
 
 
 def labelled_columns(labelled: DataFrame) -> DataFrame:
-    """The 89 columns of a labelled row: the 44, the label's four, and 41 of the next bus with suffix ``SB``."""
+    """The 89 columns of a labelled row: the 44, the label's four, and 41 of the next bus with suffix ``SB``, of those carried."""
     own = [F.col(v).alias(k) for k, v in {**INTEGRATED, **LABEL_PART}.items()]
-    return flatten_next(labelled.select(*own, F.struct(*[F.col(f"sb.{v}").alias(k) for k, v in NEXT.items()]).alias("sb")))
+    carried = set(labelled.schema["sb"].dataType.fieldNames())
+    return flatten_next(labelled.select(*own, F.struct(*[F.col(f"sb.{v}").alias(k) for k, v in NEXT.items() if v in carried]).alias("sb")))
 
 
 def with_date_features(df: DataFrame, suffixes: Sequence[str] = ("", "SB")) -> DataFrame:
-    """89 to 111 columns: day, year, month and weekday (Monday 0) in place of each timestamp."""
-    dated = [c + s for s in suffixes for c in DATED]
+    """89 to 111 columns: day, year, month and weekday (Monday 0) in place of each timestamp there is."""
+    dated = [c + s for s in suffixes for c in DATED if c + s in df.columns]
     parts = {f"{name}({c})": part(F.col(c)) for c in dated for name, part in PARTS.items()}
     return df.withColumns(parts).drop(*dated, *[c + s for s in suffixes for c in UNDATED])
 

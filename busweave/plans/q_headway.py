@@ -131,7 +131,7 @@ _LOOKUP = """looked AS (
 )
 def _(t):
     sched = H.scheduled_headways(B.timetable(t), _KEYS, tie=["trip_id"])
-    out = H.scheduled_headway_for(_pairs(t), sched, "event_id", _KEYS)
+    out = H.scheduled_headway_for(_pairs(t), sched, "event_id", _KEYS, ids=t.events)
     return out.select("event_id", "headway_min", "sched_min")
 
 
@@ -149,7 +149,7 @@ def _(t):
 )
 def _(t):
     sched = H.scheduled_headways(B.timetable(t), _KEYS, tie=["trip_id"])
-    out = H.label_bunching(H.scheduled_headway_for(_pairs(t), sched, "event_id", _KEYS), scheduled="sched_min")
+    out = H.label_bunching(H.scheduled_headway_for(_pairs(t), sched, "event_id", _KEYS, ids=t.events), scheduled="sched_min")
     return out.select("event_id", "headway_min", "threshold_min", "bunched")
 
 

@@ -227,8 +227,8 @@ def _scheduled(t):
     return H.scheduled_headways(times, ["route", "shape", "stop", "service_id"], distinct=True)
 
 
-def _labelled(t):
-    return N.label_visits(checkpointed(_integrated(t), "integrated"), _scheduled(t), _calendar(t))
+def _labelled(t, carry=tuple(N.NEXT.values())):
+    return N.label_visits(checkpointed(_integrated(t), "integrated"), _scheduled(t), _calendar(t), carry=carry)
 
 
 _LABEL_VIEWS = (_CALENDAR, *_labels(_ISCHED))
@@ -292,7 +292,9 @@ for _name, _groups in (("gps_gtfs", ("gps", "gtfs")), ("weather", ("gps", "gtfs"
 
     @query(f"p11_group_{_name}", B.sql(*_SOURCES, *_LABEL_VIEWS, _WIDE, _DATED_VIEW, body=f"SELECT {_group_sql(*_groups)} FROM dated"))
     def _(t, groups=_groups):
-        return S.feature_group(N.with_date_features(_shown(N.labelled_columns(_labelled(t)), text_times=False)), *groups)
+        wanted = {c for g in groups for c in (*S.FEATURE_GROUPS[g], *S.FEATURE_DATES.get(g, ()))}
+        carry = [v for k, v in N.NEXT.items() if k in wanted]
+        return S.feature_group(N.with_date_features(_shown(N.labelled_columns(_labelled(t, carry)), text_times=False)), *groups)
 
 
 # --- all stages, from the pings on ---------------------------------------------------------------------

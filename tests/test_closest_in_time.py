@@ -53,3 +53,15 @@ def test_dense_hour_is_not_paired(spark, tmp_path):
     # The minute before and the minute after count as no minutes apart: the earliest of them is 59 seconds older.
     late = out.where("id = 3000").first()
     assert late["alert_id"] == 2941
+
+
+def test_windows_and_their_shuffles_see_seconds_not_values(spark):
+    """What an option says is joined once a second has won; ids of several rows keep the closest of all, null ids too."""
+    rows = spark.sql("SELECT * FROM VALUES (1, 'k', timestamp'2024-01-01 08:00:00'), (1, 'k', timestamp'2024-01-01 08:07:30'), (null, 'k', timestamp'2024-01-01 07:50:59'), (2, 'j', timestamp'2024-01-01 08:00:00') AS t(id, k, ts)")
+    options = spark.sql("SELECT k, ots, oid, repeat(oid, 50) AS said FROM VALUES ('k', timestamp'2024-01-01 07:50:10', 'a'), ('k', timestamp'2024-01-01 07:50:10.5', 'b'), ('k', timestamp'2024-01-01 08:08:00', 'c') AS t(k, ots, oid)")
+    found = closest_in_time(rows, options, ["k"], ["id"], "ts", "ots", ["oid"], ["oid", "said"], keep=[])
+    assert found.columns == ["id", "oid", "said"]
+    assert sorted((str(r.id), r.oid, r.said) for r in found.collect()) == [("1", "c", "c" * 50), ("2", None, None), ("None", "a", "a" * 50)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and not any("said" in line or "__v" in line for line in windows)

@@ -9,6 +9,7 @@ from busweave.operators import headway as H
 from busweave.operators import integrated as N
 from busweave.operators.nearest import nearest_point
 from busweave.operators.shaping import feature_group
+from busweave.session import checkpointed
 
 DAY = "2024-03-04 "  # a Monday
 VISIT = "visit_id string, day date, route string, trip_num int, shape int, frequency string, seq int, shape_lat double, shape_lon double, dist double, bus int, gps_id long, gps_lat double, gps_lon double, distance_m double, ts timestamp, stop int, problem string, cell int, street string"
@@ -89,3 +90,54 @@ def test_services_of_dates_are_written_and_rows_are_paired_once(spark):
     out = H.service_for_day(rows, calendar)
     assert any("busweave-services" in f for f in out.inputFiles())
     assert sorted((r.id, r.service_id) for r in out.collect()) == [(i, 1 if i % 3 == 2 else 7) for i in range(9)]
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line[line.index("hashpartitioning(") :] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _small_integrated(spark):
+    visits = spark.createDataFrame([("a", at("00:00:00").date(), "R", 1, 1, "high", 5, -25.0, -49.0, 100.0, 1, 7, -25.0, -49.0, 3.5, at("08:00:00"), 9, "x", 1, "Main")], VISIT)
+    stations = spark.createDataFrame([(1, -25.0, -49.01)], "station int, lat double, lon double")
+    readings = spark.createDataFrame([(1, at("08:10:00"), 1.5)], "station int, ts timestamp, precipitation double")
+    return N.integrate(visits, stations, readings, spark.createDataFrame([], ALERT), spark.createDataFrame([], JAM))
+
+
+def test_found_reports_are_shuffled_once_by_visit(spark, shuffled_joins):
+    by_visit = [e for e in _exchanges(_small_integrated(spark)) if "visit_id" in e]
+    assert len(by_visit) == 4  # the visits, and the result of each lookup where it is grouped
+
+
+def test_pairs_are_not_shuffled_by_visit(spark, rows):
+    scheduled = spark.createDataFrame([("R", 1, 9, 4, 28800, 29700, 40)], "route string, shape int, stop int, service_id int, first_arr int, second_arr int, sched_min long")
+    calendar = spark.sql("SELECT 4 AS service_id, date'2024-01-01' AS start_date, date'2024-12-31' AS end_date, 1 AS monday, 0 AS tuesday, 0 AS wednesday, 0 AS thursday, 0 AS friday, 0 AS saturday, 0 AS sunday")
+    rows = checkpointed(rows, "rows")
+    labelled = N.label_visits(rows, scheduled, calendar)
+    assert not [e for e in _exchanges(labelled) if "visit_id" in e]
+    some = N.labelled_columns(N.label_visits(rows, scheduled, calendar, carry=["ts", "bus"]))
+    assert [c for c in some.columns if c.endswith("SB")] == ["busCodeSB", "gps_datetimeSB"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, N.labelled_columns(labelled).select(some.columns).collect()))
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_scheduled_interval_of_repeated_and_null_ids(spark, monkeypatch, most):
+    """Listed or joined, pairs of one id share the earliest interval, null ids have none."""
+    monkeypatch.setattr(H, "LIST_ENTRIES", most)
+    scheduled = spark.createDataFrame([(1, 0, 4000, 66), (1, 0, 4000, 66), (1, 4000, 9000, 83), (2, 0, 9000, 150), (None, 0, 9000, 150)], "k int, first_arr int, second_arr int, sched_min long")
+    pairs = spark.createDataFrame(
+        [("a", 1, 10, 20), ("b", 1, 3999, 4001), ("c", 1, 5000, 6000), ("c", 1, 100, 200), ("d", 2, 9000, 9000), (None, 2, 1, 2), ("e", None, 1, 2), ("f", 1, 200, 100)], "id string, k int, t1_s int, t2_s int"
+    )
+    got = H.scheduled_headway_for(pairs, scheduled, "id", ["k"])
+    assert got.columns == ["id", "k", "t1_s", "t2_s", "sched_min"]
+    assert sorted((str(r.id), r.t1_s, r.sched_min) for r in got.collect()) == sorted(
+        [("a", 10, 66), ("b", 3999, None), ("c", 5000, 66), ("c", 100, 66), ("d", 9000, 150), ("None", 1, None), ("e", 1, None), ("f", 200, None)]
+    )
