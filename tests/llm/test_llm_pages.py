@@ -63,6 +63,22 @@ def test_windows_equal_brute_force():
         assert got == merged, (weights, window, surge)
 
 
+LINKS = "<p><a href=x>link</a></p>" * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<div>Home | About</div>{LINKS}<h1>Title</h1>{LINKS}<p>{LONG}</p>{LINKS}<div>Log in</div>", ["Title", LONG]),
+        (f"<p>Opening.</p>{LINKS}<p>{LONG}</p>{LINKS}<ul><li>flour<li>salt</ul>{LINKS}<p>Closing!</p>{LINKS}<p>© 2024 Us. All rights reserved.</p>", ["Opening.", LONG, "flour", "salt", "Closing!"]),
+        (f"<div>Home | About</div>{LINKS}<div>Log in</div>", ["Home | About", "Log in"]),
+        (f"<main><div>One | Two</div>{LINKS}<p>{LONG}</p>{LINKS}<div>Three</div></main>", ["One | Two", *["link"] * 3, LONG, *["link"] * 3, "Three"]),
+    ],
+)
+def test_short_stretches_around_an_unmarked_article_do_not_surge(page, expected):
+    assert html_blocks.main_text(page).split("\n") == expected
+
+
 @pytest.mark.parametrize("unit", ["<div><b>", '<a "', "<a x='", "<!", "<a href=1>x", "<li class=share>", "<p class=notice><div>"])
 def test_time_grows_with_the_length(unit):
     started = time.time()
